@@ -7,18 +7,26 @@ flags.  All functions return JVM-side expressions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkproof.functions.constants import WHITESPACE_CHARS, WHITESPACE_CLASS
+from inkproof.functions.constants import (
+    DATE_PATTERNS, WHITESPACE_CHARS, WHITESPACE_CLASS,
+)
 
-TOKEN = f"[^{WHITESPACE_CLASS}]+"
-SPACES = f"[{WHITESPACE_CLASS}]+"
+TOKEN = f"(?U)[^{WHITESPACE_CLASS}]+"
+SPACES = f"(?U)[{WHITESPACE_CLASS}]+"
 UPPER = r"\p{Lu}\x{2160}-\x{216f}\x{24b6}-\x{24cf}"
 LOWER = r"\p{Ll}\p{Lt}\x{aa}\x{ba}"
 
+# Every date with a month name satisfies this cheap scan: a word whose first three letters
+# could be a month, followed by a digit.
+MONTH_DATE_GUARD = r"[jfmasond][aepuco][nbrylgptvc][a-z]*\.?\s+\d"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind an expression once and use it many times inside ``body``.
@@ -50,6 +58,37 @@ def find_each(text: Column, patterns: list[tuple[str, bool]], group: int = 1) ->
     return F.concat(*[find_all(text, p, group, ic) for p, ic in patterns])
 
 
+def contains_any(text: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+
+
+def leading_words(regex: str) -> list[str]:
+    """The literal word every alternative of a ``\\bword...|\\bword...`` pattern starts with."""
+    heads = []
+    for branch in re.split(r"\|(?![^(]*\))", regex):
+        word = re.match(r"\\b([a-z]{2,})", branch).group(1)
+        optional = re.match(r"\\b[a-z]+[?*]", branch)
+        heads.append(word[:-1] if optional else word)
+    return heads
+
+
+def count_guarded(low: Column, regex: str) -> Column:
+    """Matches in lower-cased text, searched only where a leading word occurs at all.
+
+    Finding a fixed word is far cheaper than running a pattern over the text, and most
+    patterns have no hit in most documents.
+    """
+    return F.when(contains_any(low, leading_words(regex)), count_matches(low, regex)).otherwise(F.lit(0))
+
+
+def date_strings(text: Column) -> Column:
+    """Date strings of the six overlapping layouts, layout by layout."""
+    none = F.array().cast("array<string>")
+    numeric = find_each(text, DATE_PATTERNS[:2])
+    named = F.when(matches(text, MONTH_DATE_GUARD, True), find_each(text, DATE_PATTERNS[2:]))
+    return F.when(matches(text, r"\d"), F.concat(numeric, F.coalesce(named, none))).otherwise(none)
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE_CHARS))
 
@@ -74,7 +113,7 @@ def is_upper(text: Column) -> Column:
 
 def chars_kept(text: Column, drop_class: str) -> Column:
     """Number of characters left after dropping runs of a character class."""
-    return F.length(F.regexp_replace(text, f"[{drop_class}]+", ""))
+    return F.length(F.regexp_replace(text, f"(?U)[{drop_class}]+", ""))
 
 
 def present(text: Column, words: list[str]) -> Column:

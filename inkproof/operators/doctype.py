@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,13 +9,12 @@ from inkproof.functions import constants as C
 from inkproof.functions import text as T
 
 
-def category_score(text: Column, category: str) -> Column:
-    """Weighted hits; repeats add a quarter of the weight each, three repeats at most."""
-    total = F.lit(0.0)
+def category_score(low: Column, category: str) -> Column:
+    """Weighted hits in lower-cased text; repeats add a quarter of the weight each, three repeats at most."""
+    total, boost = F.lit(0.0), F.array(*[F.lit(b) for b in (0.0, 1.0, 1.25, 1.5, 1.75)])
     for weight, regex in C.DOCTYPE_RULES[category]:
-        hits = T.count_matches(text, regex, True)
-        boost = 1.0 + 0.25 * F.least(hits - 1, F.lit(3))
-        total = total + F.when(hits > 0, weight * boost).otherwise(F.lit(0.0))
+        hits = T.count_guarded(low, regex)
+        total = total + weight * F.get(boost, F.least(hits, F.lit(4)))
     return F.round(total, 2)
 
 
@@ -25,8 +22,7 @@ def filename_hint(filename: Column) -> Column:
     low = F.lower(filename)
     hint = F.lit(None).cast("string")
     for category, words in reversed(C.FILENAME_HINTS):
-        hit = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
-        hint = F.when(hit, F.lit(category)).otherwise(hint)
+        hint = F.when(T.contains_any(low, words), F.lit(category)).otherwise(hint)
     return hint
 
 
@@ -34,14 +30,17 @@ def score_array(text: Column, filename: Column | None) -> Column:
     """``array<struct<category, score>>`` with the file-name bonus, rule order, hits only."""
     hint = filename_hint(filename) if filename is not None else F.lit(None).cast("string")
 
-    def scored(category: str) -> Column:
+    def scored(low: Column, category: str) -> Column:
         bonus = F.when(hint == category, F.lit(C.FILENAME_HINT_BONUS)).otherwise(F.lit(0.0))
         return F.struct(
             F.lit(category).alias("category"),
-            (category_score(text, category) + bonus).alias("score"),
+            (category_score(low, category) + bonus).alias("score"),
         )
 
-    return F.filter(F.array(*[scored(c) for c in C.DOCTYPE_RULES]), lambda s: s["score"] > 0)
+    return T.let(
+        F.lower(text),
+        lambda low: F.filter(F.array(*[scored(low, c) for c in C.DOCTYPE_RULES]), lambda s: s["score"] > 0),
+    )
 
 
 def ranked_scores(scores: Column, hint: Column) -> Column:

@@ -85,9 +85,9 @@ def spelling_anomaly_count(text: Column) -> Column:
 
 
 def phrase_count(text: Column) -> Column:
-    return T.count_matches(
-        text, r"\b(?:" + "|".join(C.FEATURE_PHRASES) + r")\b", ignore_case=True
-    ).cast("double")
+    hits = T.count_matches(text, r"\b(?:" + "|".join(C.FEATURE_PHRASES) + r")\b", ignore_case=True)
+    possible = T.let(F.lower(text), lambda low: T.contains_any(low, C.FEATURE_PHRASES))
+    return F.when(possible, hits).otherwise(F.lit(0)).cast("double")
 
 
 def text_features(text: Column) -> dict[str, Column]:
@@ -137,10 +137,7 @@ def heading_count(text: Column) -> Column:
 
 def date_count(text: Column) -> Column:
     """Matches summed over six overlapping patterns, so long month names count twice."""
-    total = F.lit(0)
-    for regex, ignore_case in C.DATE_PATTERNS:
-        total = total + T.count_matches(text, regex, ignore_case)
-    return F.when(T.matches(text, r"\d"), total).otherwise(F.lit(0)).cast("double")
+    return F.size(T.date_strings(text)).cast("double")
 
 
 def table_count(df: DataFrame, text: Column) -> Column:
@@ -202,7 +199,7 @@ def entities(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Long table (doc_id, kind, pos, value) of date, money and identifier strings."""
     text = F.col(text_col)
     found = F.concat(
-        F.transform(T.find_each(text, C.DATE_PATTERNS), lambda v, i: F.struct(
+        F.transform(T.date_strings(text), lambda v, i: F.struct(
             F.lit("date").alias("kind"), i.alias("pos"), v.alias("value"))),
         F.transform(T.find_all(text, C.MONEY_PATTERN, 0, True), lambda v, i: F.struct(
             F.lit("money").alias("kind"), i.alias("pos"), v.alias("value"))),

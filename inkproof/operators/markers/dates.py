@@ -31,7 +31,7 @@ def impossible_dates(text: Column) -> Column:
 def future_dates(text: Column, as_of: Column) -> Column:
     """One marker per date more than five years after ``as_of``; overlapping patterns repeat."""
     parsed = F.transform(
-        T.find_each(text, C.DATE_PATTERNS),
+        T.date_strings(text),
         lambda s: F.struct(s.alias("raw"), F.year(parse_date(s)).alias("year")),
     )
     now = F.year(as_of)
@@ -81,8 +81,10 @@ def issue_after_expiry(text: Column) -> Column:
 
 
 def date_styles(text: Column) -> Column:
+    named = T.matches(text, T.MONTH_DATE_GUARD, True)
     return F.array_compact(F.array(*[
-        F.when(T.matches(text, regex, ic), F.lit(name)) for name, regex, ic in C.DATE_STYLE_PATTERNS
+        F.when((named & T.matches(text, regex, True)) if ic else T.matches(text, regex), F.lit(name))
+        for name, regex, ic in C.DATE_STYLE_PATTERNS
     ]))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,9 +20,7 @@ def missing_sections(text: Column) -> Column:
     """One marker per document kind the text resembles with two or more sections absent."""
 
     def one(low: Column, kind: str) -> Column:
-        resembles = reduce(
-            lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in C.SECTION_TRIGGERS[kind]]
-        )
+        resembles = T.contains_any(low, C.SECTION_TRIGGERS[kind])
         missing = T.let(
             missing_section_names(low, kind),
             lambda gone: emit(
