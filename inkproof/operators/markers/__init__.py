@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from inkproof.functions.text import let
 from inkproof.operators.features import stat
-from inkproof.operators.markers.dates import dates
-from inkproof.operators.markers.ids import ids
+from inkproof.operators.markers.dates import dates_rules
+from inkproof.operators.markers.ids import ids_rules
 from inkproof.operators.markers.metadata import metadata_rules
-from inkproof.operators.markers.numerical import numerical
-from inkproof.operators.markers.structural import structural
-from inkproof.operators.markers.textual import textual
-from inkproof.operators.markers.visual import visual
+from inkproof.operators.markers.numerical import numerical_rules
+from inkproof.operators.markers.structural import structural_rules
+from inkproof.operators.markers.textual import textual_rules
+from inkproof.operators.markers.visual import visual_rules
 
 SEVERITY_ORDER = ("high", "medium", "low")
 
@@ -41,13 +41,13 @@ def family_columns(df: DataFrame, as_of: str | None = None) -> dict[str, Column]
     text, metadata = F.col("text"), F.col("metadata")
     day = F.lit(as_of).cast("date") if as_of else F.current_date()
     return {
-        "textual": textual(text),
-        "numerical": numerical(text),
-        "date": dates(text, day),
-        "id_reference": ids(text),
-        "structural": structural(text, int_stat(df, "page_count")),
+        "textual": textual_rules(text),
+        "numerical": numerical_rules(text),
+        "date": dates_rules(text, day),
+        "id_reference": ids_rules(text),
+        "structural": structural_rules(text, int_stat(df, "page_count")),
         "metadata": metadata_rules(metadata),
-        "visual": visual(
+        "visual": visual_rules(
             stat(df, "suspicious_region_count", 0), int_stat(df, "width"),
             int_stat(df, "height"), stat(df, "ocr_confidence", 1),
         ),

@@ -103,7 +103,7 @@ def inconsistent_date_formats(text: Column) -> Column:
     )
 
 
-def dates(text: Column, as_of: Column) -> Column:
+def dates_rules(text: Column, as_of: Column) -> Column:
     rules = F.concat(
         impossible_dates(text), future_dates(text, as_of),
         issue_after_expiry(text), inconsistent_date_formats(text),

@@ -130,7 +130,7 @@ def inconsistent_ids(found: Column) -> Column:
     return emit_many(marked.isNotNull(), marked)
 
 
-def ids(text: Column) -> Column:
+def ids_rules(text: Column) -> Column:
     return T.let(
         rule_ids(text),
         lambda found: emit_many(

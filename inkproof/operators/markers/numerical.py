@@ -170,7 +170,7 @@ def repeated_numbers(text: Column) -> Column:
     return T.let(repeated_number_counts(text), rule)
 
 
-def numerical(text: Column) -> Column:
+def numerical_rules(text: Column) -> Column:
     rules = F.concat(
         inconsistent_totals(text), amount_mismatches(text),
         percentage_inconsistencies(text), repeated_numbers(text),

@@ -115,7 +115,7 @@ def page_numbering_issues(text: Column, page_count: Column) -> Column:
     return T.let(page_refs(text), rule)
 
 
-def structural(text: Column, page_count: Column) -> Column:
+def structural_rules(text: Column, page_count: Column) -> Column:
     return F.concat(
         missing_sections(text), inconsistent_headers_footers(text),
         page_numbering_issues(text, page_count),

@@ -176,7 +176,7 @@ def template_like_language(text: Column) -> Column:
     )
 
 
-def textual(text: Column) -> Column:
+def textual_rules(text: Column) -> Column:
     return F.concat(
         inconsistent_terminology(text), suspicious_phrases(text), repeated_sentences(text),
         abnormal_capitalization(text), excessive_punctuation(text), template_like_language(text),

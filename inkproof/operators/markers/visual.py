@@ -44,7 +44,7 @@ def low_ocr_confidence(confidence: Column) -> Column:
     )
 
 
-def visual(regions: Column, width: Column, height: Column, confidence: Column) -> Column:
+def visual_rules(regions: Column, width: Column, height: Column, confidence: Column) -> Column:
     return F.concat(
         compression_artifacts(regions), low_resolution(width, height), low_ocr_confidence(confidence)
     )
