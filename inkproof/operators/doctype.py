@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,12 +60,12 @@ def ranked_scores(scores: Column, hint: Column) -> Column:
     return F.array_sort(tagged)
 
 
-def classify(df: DataFrame, filename_col: str | None = "filename") -> DataFrame:
-    """Add ``document_type``, ``type_score`` and ``type_margin``."""
+@lru_cache
+def type_column(filename_col: str | None) -> Column:
+    """struct(type, score, margin) of the winning category."""
     text = F.col("text")
     filename = F.col(filename_col) if filename_col else None
     hint = F.coalesce(filename_hint(filename), F.lit("")) if filename_col else F.lit("")
-    top = ranked_scores(score_array(text, filename), hint)
 
     def verdict(r: Column) -> Column:
         best = F.coalesce(F.get(r, F.lit(0))["score"], F.lit(0.0))
@@ -74,8 +76,13 @@ def classify(df: DataFrame, filename_col: str | None = "filename") -> DataFrame:
             (best - F.coalesce(F.get(r, F.lit(1))["score"], F.lit(0.0))).alias("margin"),
         )
 
+    return T.let(ranked_scores(score_array(text, filename), hint), verdict)
+
+
+def classify(df: DataFrame, filename_col: str | None = "filename") -> DataFrame:
+    """Add ``document_type``, ``type_score`` and ``type_margin``."""
     return (
-        df.withColumn("_type", T.let(top, verdict))
+        df.withColumn("_type", type_column(filename_col))
         .withColumns({
             "document_type": F.col("_type.type"),
             "type_score": F.col("_type.score"),

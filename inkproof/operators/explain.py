@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,16 +67,24 @@ def factor(label: Column, contribution: Column, direction: Column) -> Column:
     )
 
 
-def pillar_factors() -> Column:
+def risk_inputs() -> Column:
+    return F.struct("risk_score", *[F.col(name) for _, name, _ in C.PILLARS])
+
+
+def pillar_factors(risk: Column | None = None) -> Column:
     """Four entries: weight times pillar score, and which way it pushes."""
-    return F.array(*[
-        factor(
-            F.lit(label),
-            F.round(C.RISK_WEIGHTS[key] * safe_score(F.col(name)), 2),
-            factor_direction(safe_score(F.col(name)), F.col("risk_score")),
-        )
-        for label, name, key in C.PILLARS
-    ])
+
+    def entries(r: Column) -> Column:
+        return F.array(*[
+            factor(
+                F.lit(label),
+                F.round(C.RISK_WEIGHTS[key] * safe_score(r[name]), 2),
+                factor_direction(safe_score(r[name]), r["risk_score"]),
+            )
+            for label, name, key in C.PILLARS
+        ])
+
+    return let(risk_inputs(), entries) if risk is None else entries(risk)
 
 
 def marker_contribution(m: Column) -> Column:
@@ -95,7 +105,7 @@ def top_markers(markers: Column, limit: int = C.TOP_MARKERS) -> Column:
     return F.transform(F.slice(ranked, 1, limit), lambda r: r["m"])
 
 
-def top_factors(markers: Column) -> Column:
+def top_factors(markers: Column, risk: Column | None = None) -> Column:
     """Pillars and top markers by absolute contribution; increases win ties."""
     from_markers = F.transform(
         top_markers(markers),
@@ -106,7 +116,7 @@ def top_factors(markers: Column) -> Column:
         ),
     )
     ranked = F.array_sort(F.transform(
-        F.concat(pillar_factors(), from_markers),
+        F.concat(pillar_factors(risk), from_markers),
         lambda f, i: F.struct(
             (-F.abs(f["contribution"])).alias("k"),
             (f["direction"] != "increase").alias("late"),
@@ -226,21 +236,37 @@ def summary(score: Column, decision: Column, factors: Column, markers_text: Colu
     return let(pushing, paragraph)
 
 
+@lru_cache
+def explanation_column(has_predictions: bool) -> Column:
+    """summary, top_factors, marker_summary and ml_summary as one struct."""
+    p = F.col("predictions") if has_predictions else F.array().cast(PREDICTION_TYPE)
+    inputs = F.struct(
+        F.col("markers").alias("m"), risk_inputs().alias("r"), F.col("decision").alias("d")
+    )
+
+    def build(i: Column) -> Column:
+        parts = F.struct(
+            top_factors(i["m"], i["r"]).alias("factors"),
+            marker_summary(i["m"]).alias("markers"),
+            ml_summary(p).alias("ml"),
+        )
+        return let(parts, lambda x: F.struct(
+            summary(i["r"]["risk_score"], i["d"], x["factors"], x["markers"], x["ml"]).alias("summary"),
+            x["factors"].alias("top_factors"),
+            x["markers"].alias("marker_summary"),
+            x["ml"].alias("ml_summary"),
+        ))
+
+    return let(inputs, build)
+
+
 def explain_documents(df: DataFrame) -> DataFrame:
     """Add ``explanation``: summary, top_factors, risk_breakdown and the two summaries."""
-    p = F.col("predictions") if "predictions" in df.columns else F.array().cast(PREDICTION_TYPE)
-    parts = df.withColumns({
-        "_factors": top_factors(F.col("markers")),
-        "_markers": marker_summary(F.col("markers")),
-        "_ml": ml_summary(p),
-    })
-    return parts.withColumn(
+    texts = df.withColumn("_x", explanation_column("predictions" in df.columns))
+    return texts.withColumn(
         "explanation",
         F.struct(
-            summary(F.col("risk_score"), F.col("decision"), F.col("_factors"), F.col("_markers"), F.col("_ml")).alias("summary"),
-            F.col("_factors").alias("top_factors"),
-            risk_breakdown(df).alias("risk_breakdown"),
-            F.col("_markers").alias("marker_summary"),
-            F.col("_ml").alias("ml_summary"),
+            F.col("_x.summary"), F.col("_x.top_factors"), risk_breakdown(df).alias("risk_breakdown"),
+            F.col("_x.marker_summary"), F.col("_x.ml_summary"),
         ),
-    ).drop("_factors", "_markers", "_ml")
+    ).drop("_x")

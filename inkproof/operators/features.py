@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,13 @@ from inkproof.functions import constants as C
 from inkproof.functions import text as T
 
 
-def stat(df: DataFrame, name: str, default: float) -> Column:
+def stats_fields(df: DataFrame) -> tuple[str, ...]:
+    """Names of the statistics a corpus carries."""
+    return tuple(df.schema["stats"].dataType.fieldNames()) if "stats" in df.columns else ()
+
+
+def stat(fields: tuple[str, ...], name: str, default: float) -> Column:
     """A numeric statistic as double, ``default`` when the field is missing or NULL."""
-    fields = df.schema["stats"].dataType.fieldNames() if "stats" in df.columns else []
     if name not in fields:
         return F.lit(float(default))
     return F.coalesce(F.col("stats")[name].cast("double"), F.lit(float(default)))
@@ -140,42 +146,48 @@ def date_count(text: Column) -> Column:
     return F.size(T.date_strings(text)).cast("double")
 
 
-def table_count(df: DataFrame, text: Column) -> Column:
-    given = stat(df, "table_count", 0)
+def table_count(fields: tuple[str, ...], text: Column) -> Column:
+    given = stat(fields, "table_count", 0)
     bars = F.length(text) - F.length(F.translate(text, "|\t", ""))
     return F.when((given == 0) & (bars > 5), F.lit(1.0)).otherwise(given)
 
 
-def extract_features(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the 32 feature columns to a corpus with ``text``, ``metadata`` and ``stats``."""
+@lru_cache
+def feature_columns(fields: tuple[str, ...], text_col: str = "text") -> dict[str, Column]:
+    """The 32 features as columns; built once, since they do not depend on the data."""
     text = F.col(text_col)
     present_fields = F.lit(0.0)
     for key in C.METADATA_FIELDS:
         present_fields = present_fields + flag(has_meta(key))
     features = {
         **text_features(text),
-        "page_count": stat(df, "page_count", 1),
+        "page_count": stat(fields, "page_count", 1),
         "paragraph_count": paragraph_count(text),
-        "table_count": table_count(df, text),
+        "table_count": table_count(fields, text),
         "heading_count": heading_count(text),
-        "blank_page_count": stat(df, "blank_page_count", 0),
-        "font_size_variance": stat(df, "font_size_variance", 0),
-        "alignment_variance": stat(df, "alignment_variance", 0),
+        "blank_page_count": stat(fields, "blank_page_count", 0),
+        "font_size_variance": stat(fields, "font_size_variance", 0),
+        "alignment_variance": stat(fields, "alignment_variance", 0),
         "number_count": T.count_matches(text, C.NUMBER_PATTERN).cast("double"),
         "monetary_values_count": T.count_matches(text, C.MONEY_PATTERN, True).cast("double"),
         "date_count": date_count(text),
-        "total_inconsistencies": stat(df, "total_inconsistencies", 0),
-        "id_inconsistencies": stat(df, "id_inconsistencies", 0),
-        "ocr_confidence": stat(df, "ocr_confidence", 1),
-        "low_confidence_text_pct": stat(df, "low_confidence_text_pct", 0),
+        "total_inconsistencies": stat(fields, "total_inconsistencies", 0),
+        "id_inconsistencies": stat(fields, "id_inconsistencies", 0),
+        "ocr_confidence": stat(fields, "ocr_confidence", 1),
+        "low_confidence_text_pct": stat(fields, "low_confidence_text_pct", 0),
         "has_author": flag(has_meta("author")),
         "has_creator": flag(has_meta("creator")),
         "has_dates": flag(has_meta("creation_date") | has_meta("modification_date")),
         "metadata_completeness": present_fields / len(C.METADATA_FIELDS),
-        "image_count": stat(df, "image_count", 0),
-        "suspicious_region_count": stat(df, "suspicious_region_count", 0),
+        "image_count": stat(fields, "image_count", 0),
+        "suspicious_region_count": stat(fields, "suspicious_region_count", 0),
     }
-    return df.withColumns({name: features[name] for name in C.FEATURE_NAMES})
+    return {name: features[name] for name in C.FEATURE_NAMES}
+
+
+def extract_features(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add the 32 feature columns to a corpus with ``text``, ``metadata`` and ``stats``."""
+    return df.withColumns(feature_columns(stats_fields(df), text_col))
 
 
 def finite(column: Column) -> Column:

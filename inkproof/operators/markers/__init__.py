@@ -6,11 +6,13 @@ without a shuffle, whatever the size of a document or the number of its copies.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkproof.functions.text import let
-from inkproof.operators.features import stat
+from inkproof.operators.features import stat, stats_fields
 from inkproof.operators.markers.dates import dates_rules
 from inkproof.operators.markers.ids import ids_rules
 from inkproof.operators.markers.metadata import metadata_rules
@@ -31,13 +33,16 @@ def by_severity(markers: Column) -> Column:
     return let(markers, lambda all_: F.concat(*[only(all_, s) for s in SEVERITY_ORDER]))
 
 
-def int_stat(df: DataFrame, name: str) -> Column:
-    fields = df.schema["stats"].dataType.fieldNames() if "stats" in df.columns else []
+def int_stat(fields: tuple[str, ...], name: str) -> Column:
     return F.col("stats")[name].cast("int") if name in fields else F.lit(None).cast("int")
 
 
-def family_columns(df: DataFrame, as_of: str | None = None) -> dict[str, Column]:
-    """The seven rule families in the order they are reported."""
+@lru_cache
+def family_columns(fields: tuple[str, ...], as_of: str | None = None) -> dict[str, Column]:
+    """The seven rule families in the order they are reported.
+
+    Building a few thousand column nodes costs more than planning them, so they are kept.
+    """
     text, metadata = F.col("text"), F.col("metadata")
     day = F.lit(as_of).cast("date") if as_of else F.current_date()
     return {
@@ -45,18 +50,18 @@ def family_columns(df: DataFrame, as_of: str | None = None) -> dict[str, Column]
         "numerical": numerical_rules(text),
         "date": dates_rules(text, day),
         "id_reference": ids_rules(text),
-        "structural": structural_rules(text, int_stat(df, "page_count")),
+        "structural": structural_rules(text, int_stat(fields, "page_count")),
         "metadata": metadata_rules(metadata),
         "visual": visual_rules(
-            stat(df, "suspicious_region_count", 0), int_stat(df, "width"),
-            int_stat(df, "height"), stat(df, "ocr_confidence", 1),
+            stat(fields, "suspicious_region_count", 0), int_stat(fields, "width"),
+            int_stat(fields, "height"), stat(fields, "ocr_confidence", 1),
         ),
     }
 
 
 def detect_markers(df: DataFrame, as_of: str | None = None) -> DataFrame:
     """Add ``markers``: every marker of the document, most severe first."""
-    families = family_columns(df, as_of)
+    families = family_columns(stats_fields(df), as_of)
     staged = df.withColumns({f"_{name}": column for name, column in families.items()})
     merged = staged.withColumn("markers", by_severity(F.concat(*[F.col(f"_{n}") for n in families])))
     return merged.drop(*[f"_{name}" for name in families])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +37,14 @@ def literal_map(pairs: dict) -> Column:
 # --- pillars -------------------------------------------------------------------------
 
 
+def probability(value: Column) -> Column:
+    """Clamped to [0, 1]; NULL stays NULL, which least/greatest alone would not keep."""
+    return F.when(value.isNotNull(), clamp(value, 0.0, 1.0))
+
+
 def fake_probability(p: Column) -> Column:
     """Probability of forgery, inferred from the genuine one when missing."""
-    return F.coalesce(
-        clamp(p["fake_probability"], 0.0, 1.0),
-        clamp(1.0 - clamp(p["genuine_probability"], 0.0, 1.0), 0.0, 1.0),
-    )
+    return F.coalesce(probability(p["fake_probability"]), 1.0 - probability(p["genuine_probability"]))
 
 
 def fake_probabilities(predictions: Column) -> Column:
@@ -156,8 +159,7 @@ def confidence(predictions: Column, markers: Column, marker_score: Column) -> Co
 
     def peak(p: Column) -> Column:
         fake = fake_probability(p)
-        genuine = F.coalesce(clamp(p["genuine_probability"], 0.0, 1.0), clamp(1.0 - fake, 0.0, 1.0))
-        return F.greatest(fake, genuine)
+        return F.greatest(fake, F.coalesce(probability(p["genuine_probability"]), 1.0 - fake))
 
     evidence = F.least(F.lit(1.0), F.size(markers) / 4.0)
     distance = F.abs(marker_score - 50.0) / 50.0
@@ -246,14 +248,13 @@ def fold_back(df: DataFrame) -> DataFrame:
     })
 
 
-def structure_inputs(df: DataFrame) -> dict[str, Column]:
+def structure_inputs(fields: tuple[str, ...], columns: frozenset[str]) -> dict[str, Column]:
     """Feature column first, then the statistic, then the default."""
     from inkproof.operators.features import stat
 
     def value(name: str, default: float) -> Column:
-        return F.col(name) if name in df.columns else stat(df, name, default)
+        return F.col(name) if name in columns else stat(fields, name, default)
 
-    fields = df.schema["stats"].dataType.fieldNames() if "stats" in df.columns else []
     used = F.coalesce(F.col("stats")["ocr_used"], F.lit(False)) if "ocr_used" in fields else F.lit(False)
     return {
         "page_count": value("page_count", 1),
@@ -268,27 +269,51 @@ def structure_inputs(df: DataFrame) -> dict[str, Column]:
     }
 
 
+RISK_COLUMNS = (
+    "ml_risk_score", "marker_risk_score", "structural_risk_score", "consistency_risk_score",
+    "risk_score", "decision", "confidence",
+)
+
+
+@lru_cache
+def risk_column(fields: tuple[str, ...], columns: frozenset[str], thresholds: Thresholds) -> Column:
+    """All risk outputs as one struct; marker and prediction arrays are bound once."""
+    p = F.col("predictions") if "predictions" in columns else F.array().cast(PREDICTION_TYPE)
+    totals = F.col("total_inconsistencies") if "total_inconsistencies" in columns else F.lit(0.0)
+    ids = F.col("id_inconsistencies") if "id_inconsistencies" in columns else F.lit(0.0)
+
+    def blended(i: Column) -> Column:
+        return let(
+            F.struct(
+                ml_risk(i["p"]).alias("ml"),
+                marker_risk(i["m"]).alias("marker"),
+                structural_risk(structure_inputs(fields, columns)).alias("structural"),
+                consistency_risk(i["m"], totals, ids).alias("consistency"),
+            ),
+            lambda r: let(
+                risk_score(r["ml"], r["marker"], r["structural"], r["consistency"]),
+                lambda score: F.struct(
+                    r["ml"].alias("ml_risk_score"),
+                    r["marker"].alias("marker_risk_score"),
+                    r["structural"].alias("structural_risk_score"),
+                    r["consistency"].alias("consistency_risk_score"),
+                    score.alias("risk_score"),
+                    decision(score, thresholds).alias("decision"),
+                    confidence(i["p"], i["m"], r["marker"]).alias("confidence"),
+                ),
+            ),
+        )
+
+    return let(F.struct(F.col("markers").alias("m"), p.alias("p")), blended)
+
+
 def score_documents(df: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """Add the four pillars, risk score, decision and confidence.
 
     Needs ``markers`` and ``stats``; ``predictions`` and the folded-back features are used
     when present.
     """
-    m = F.col("markers")
-    p = F.col("predictions") if "predictions" in df.columns else F.array().cast(PREDICTION_TYPE)
-    totals = F.col("total_inconsistencies") if "total_inconsistencies" in df.columns else F.lit(0.0)
-    ids = F.col("id_inconsistencies") if "id_inconsistencies" in df.columns else F.lit(0.0)
-    pillars = df.withColumns({
-        "ml_risk_score": ml_risk(p),
-        "marker_risk_score": marker_risk(m),
-        "structural_risk_score": structural_risk(structure_inputs(df)),
-        "consistency_risk_score": consistency_risk(m, totals, ids),
-    })
-    scored = pillars.withColumn("risk_score", risk_score(
-        F.col("ml_risk_score"), F.col("marker_risk_score"),
-        F.col("structural_risk_score"), F.col("consistency_risk_score"),
-    ))
-    return scored.withColumns({
-        "decision": decision(F.col("risk_score"), thresholds),
-        "confidence": confidence(p, m, F.col("marker_risk_score")),
-    })
+    from inkproof.operators.features import stats_fields
+
+    scored = df.withColumn("_risk", risk_column(stats_fields(df), frozenset(df.columns), thresholds))
+    return scored.withColumns({n: F.col(f"_risk.{n}") for n in RISK_COLUMNS}).drop("_risk")

@@ -1 +1,206 @@
-"""Placeholder."""
+"""Feature queries: text features on the prose corpus, the others on rendered documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inkproof.functions import constants as C
+from inkproof.functions import text as T
+from inkproof.operators import features as X
+from inkproof.operators import layout
+from inkproof.operators.markers import detect_markers
+from inkproof.operators.risk import fold_back
+from inkproof.plans import oracle as O
+from inkproof.plans.registry import query, register
+from inkproof.session import spread
+from inkproof.sources.business import AS_OF, business_documents
+from inkproof.sources.tables import prose_documents, table
+
+WORDS = (
+    "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+'), "
+    "lambda x: regexp_full_match(x, '[a-z]+'))"
+)
+TRIMMED = f"regexp_replace(regexp_replace(text, '^[{O.WS}]+', ''), '[{O.WS}]+$', '')"
+WORD_N = f"len(regexp_extract_all(text, '[^{O.WS}]+'))"
+SENT_N = f"(CASE WHEN {TRIMMED} = '' THEN 0 ELSE 1 + len(regexp_extract_all({TRIMMED}, '[.!?][{O.WS}]+[A-Z]')) END)"
+
+
+def share(keep: str, whole: str = "length(text)") -> str:
+    return f"length(regexp_replace(text, '{keep}', '', 'g')) / {whole}"
+
+
+TRIPLED = "(" + "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz") + ")"
+TEXT_SQL = {
+    "word_count": WORD_N,
+    "char_count": "length(text)",
+    "sentence_count": SENT_N,
+    "avg_sentence_length": f"CASE WHEN {SENT_N} > 0 THEN {WORD_N} / {SENT_N} ELSE 0 END",
+    "vocabulary_richness": f"coalesce(len(list_distinct({WORDS})) / nullif(len({WORDS}), 0), 0)",
+    "punctuation_ratio": "(length(text) - length(translate(text, '.,;:!?-()[]{}\"''/\\', ''))) / length(text)",
+    "uppercase_ratio": share("[^\\p{Lu}]+", "greatest(length(regexp_replace(text, '[^\\p{L}]+', '', 'g')), 1)"),
+    "digit_ratio": share("[^\\p{Nd}\\x{b2}\\x{b3}\\x{b9}]+"),
+    "special_char_ratio": share(f"[\\p{{L}}\\p{{N}}{O.WS}]+"),
+    "spelling_anomaly_count": f"coalesce(list_sum(list_transform({WORDS}, lambda w: CASE WHEN regexp_matches(w, '{TRIPLED}') THEN 1.0 ELSE 0 END "
+    "+ CASE WHEN contains(w, 'q') AND NOT contains(w, 'qu') THEN 0.5 ELSE 0 END)), 0)",
+    "suspicious_phrase_count": O.count("text", r"\b(?:" + "|".join(C.FEATURE_PHRASES) + r")\b", True),
+    "paragraph_count": f"greatest(len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: NOT regexp_full_match(p, '[{O.WS}]*'))), 1)",
+    "heading_count": f"len(list_filter(list_transform(string_split(text, chr(10)), lambda p: regexp_replace(regexp_replace(p, '^[{O.WS}]+', ''), '[{O.WS}]+$', '')), "
+    "lambda x: length(x) BETWEEN 1 AND 79 AND ((regexp_matches(x, '\\p{Lu}') AND NOT regexp_matches(x, '[\\p{Ll}\\p{Lt}\\x{aa}\\x{ba}]')) "
+    "OR regexp_matches(x, '^(#{1,6}\\s|\\d+[.)]\\s+[A-Z]|[IVXLC]+[.)]\\s)'))))",
+    "number_count": O.count("text", C.NUMBER_PATTERN),
+    "table_count": "CASE WHEN length(text) - length(translate(text, '|' || chr(9), '')) > 5 THEN 1 ELSE 0 END",
+}
+BUSINESS_SQL = {
+    "monetary_values_count": O.count("text", C.MONEY_PATTERN, True),
+    "date_count": " + ".join(O.count("text", p, ic) for p, ic in C.DATE_PATTERNS),
+    "page_count": "page_count",
+    "blank_page_count": "blank_page_count",
+    "font_size_variance": "font_size_variance",
+    "alignment_variance": "alignment_variance",
+    "ocr_confidence": "coalesce(ocr_confidence, 1)",
+    "low_confidence_text_pct": "0",
+    "has_author": "CASE WHEN coalesce(md_author, '') <> '' THEN 1 ELSE 0 END",
+    "has_creator": "CASE WHEN coalesce(md_creator, '') <> '' THEN 1 ELSE 0 END",
+    "has_dates": "CASE WHEN coalesce(md_creation_date, '') <> '' OR coalesce(md_modification_date, '') <> '' THEN 1 ELSE 0 END",
+    "metadata_completeness": O.n_true([
+        f"coalesce(md_{k}, '') <> ''" for k in C.METADATA_FIELDS if k != "keywords"]) + " / 7",
+    "image_count": "image_count",
+    "suspicious_region_count": "suspicious_region_count",
+}
+
+
+def _register_all() -> None:
+    for name, sql in TEXT_SQL.items():
+        def prose(spark, sf_dir, name=name):
+            df = X.extract_features(spread(prose_documents(spark, sf_dir), "doc_id"))
+            return df.select("doc_id", F.round(name, 6).alias(name))
+
+        register(f"f_{name}", prose,
+                 f"SELECT doc_id, round(CAST({sql} AS DOUBLE), 6) AS {name} FROM documents")
+    for name, sql in BUSINESS_SQL.items():
+        def rendered(spark, sf_dir, name=name):
+            df = X.extract_features(business_documents(spark, sf_dir))
+            return df.select("doc_id", F.round(name, 6).alias(name))
+
+        register(f"f_{name}", rendered,
+                 f"WITH {O.BIZ} SELECT doc_id, round(CAST({sql} AS DOUBLE), 6) AS {name} FROM biz")
+
+
+_register_all()
+
+
+@query("f_repeated_phrase_count", f"""
+SELECT d.doc_id, CAST(coalesce(n, 0) AS DOUBLE) AS repeated_phrase_count FROM documents d LEFT JOIN (
+SELECT doc_id, count(*) AS n FROM (
+SELECT doc_id, g FROM (SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (
+SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM (
+SELECT doc_id, regexp_extract_all(lower(text), '[^{O.WS}]+') AS w FROM documents) a) b) c
+GROUP BY 1, 2 HAVING count(*) > 1) e GROUP BY 1) f ON f.doc_id = d.doc_id""")
+def repeated_phrase_count(spark, sf_dir):
+    df = spread(prose_documents(spark, sf_dir), "doc_id")
+    return df.select("doc_id", X.repeated_phrase_count(F.col("text")).alias("repeated_phrase_count"))
+
+
+def _folded_sql(condition: str, name: str) -> str:
+    return f"""WITH {O.marker_ctes()}
+SELECT biz.doc_id, CAST(count(*) FILTER ({condition}) AS DOUBLE) AS {name}
+FROM biz LEFT JOIN mk ON mk.doc_id = biz.doc_id GROUP BY 1"""
+
+
+def _folded(name):
+    def run(spark, sf_dir):
+        return fold_back(detect_markers(business_documents(spark, sf_dir), AS_OF)).select("doc_id", name)
+
+    return run
+
+
+register("f_total_inconsistencies", _folded("total_inconsistencies"),
+         _folded_sql("category IN ('date', 'numerical')", "total_inconsistencies"))
+register("f_id_inconsistencies", _folded("id_inconsistencies"),
+         _folded_sql("category = 'id_reference'", "id_inconsistencies"))
+
+
+@query("f_feature_vector")
+def feature_vector(spark, sf_dir):
+    """The ordered 32-vector of every rendered document, as an array for display."""
+    from pyspark.ml.functions import vector_to_array
+
+    df = X.feature_vector(X.extract_features(business_documents(spark, sf_dir)))
+    return df.select("doc_id", vector_to_array("features").alias("features"))
+
+
+@query("f_entity_extract", f"""WITH {O.BIZ}, e AS (
+SELECT doc_id, 'date' AS kind, v AS value FROM {O._unnest(O.DATES_LIST, 'v')} a
+UNION ALL SELECT doc_id, 'money', v FROM {O._unnest(O.hits('text', C.MONEY_PATTERN, True), 'v')} b
+""" + "".join(f"UNION ALL SELECT doc_id, 'id', v FROM {O._unnest(O.hits('text', p, ic, 1), 'v')} c{i}\n"
+              for i, (p, ic) in enumerate(C.FEATURE_ID_PATTERNS))
+       + ") SELECT doc_id, kind, value, count(*) AS n FROM e GROUP BY 1, 2, 3")
+def entity_extract(spark, sf_dir):
+    """Date, money and identifier strings per document, with their number of matches."""
+    found = X.entities(business_documents(spark, sf_dir))
+    return found.groupBy("doc_id", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f_clean_tokens", f"""
+SELECT doc_id, len(t) AS tokens, coalesce(t[1], '') AS first_token
+FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^{O.WS}]+') AS t FROM documents) a""")
+def clean_tokens(spark, sf_dir):
+    df = spread(prose_documents(spark, sf_dir), "doc_id")
+    return df.select("doc_id", T.tokens(F.lower("text")).alias("t")).select(
+        "doc_id", F.size("t").cast("bigint").alias("tokens"),
+        F.coalesce(F.get("t", F.lit(0)), F.lit("")).alias("first_token"))
+
+
+# --- layout: one span per line item, one page per returned/shipped batch of lines --------
+
+
+def spans(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"),
+        (8 + F.col("l_quantity") % 5).alias("font_size"),
+        (F.col("l_linenumber") * 12.5).alias("x0"),
+    )
+
+
+@query("l_font_variance", """
+SELECT l_orderkey AS doc_id, CASE WHEN count(*) > 1 THEN round(var_pop(8 + l_quantity % 5), 4) ELSE 0 END AS font_size_variance
+FROM lineitem GROUP BY 1""")
+def font_variance(spark, sf_dir):
+    return layout.font_variance(spans(spark, sf_dir))
+
+
+@query("l_line_offset_variance", """
+SELECT l_orderkey AS doc_id, CASE WHEN count(*) > 1 THEN round(var_pop(l_linenumber * 12.5), 4) ELSE 0 END AS alignment_variance
+FROM lineitem GROUP BY 1""")
+def line_offset_variance(spark, sf_dir):
+    return layout.line_offset_variance(spans(spark, sf_dir))
+
+
+@query("l_document_stats_rollup", """
+SELECT l_orderkey AS doc_id, count(*) AS pages, CAST(sum(CASE WHEN l_linenumber % 4 = 0 THEN 0 ELSE 3 END) AS BIGINT) AS words,
+       CAST(sum(length(CASE WHEN l_linenumber % 4 = 0 THEN '  ' ELSE concat('Line ', CAST(l_partkey AS VARCHAR), ' shipped') END)) + 2 * (count(*) - 1) AS BIGINT) AS characters,
+       CAST(sum(CASE WHEN l_linenumber % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS blank_page_count,
+       CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS ocr_pages,
+       """ + O.half_up("coalesce(sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity / 50 AS DECIMAL(12,6)) END) / nullif(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END), 0), 0)") + """ AS ocr_confidence
+FROM lineitem GROUP BY 1""")
+def document_stats_rollup(spark, sf_dir):
+    pages = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"),
+        F.col("l_linenumber").alias("page_no"),
+        F.when(F.col("l_linenumber") % 4 == 0, F.lit("  ")).otherwise(
+            F.concat(F.lit("Line "), F.col("l_partkey").cast("string"), F.lit(" shipped"))).alias("text"),
+        (F.col("l_returnflag") == "R").alias("ocr_used"),
+        (F.col("l_quantity") / 50).alias("ocr_confidence"),
+    )
+    return layout.document_stats(pages)
+
+
+@query("l_metadata_available", f"""WITH {O.BIZ}
+SELECT count(*) FILTER (coalesce(md_title, '') <> '' OR coalesce(md_author, '') <> '' OR coalesce(md_creator, '') <> '') AS with_identity,
+       count(*) AS documents FROM biz""")
+def metadata_available(spark, sf_dir):
+    df = business_documents(spark, sf_dir)
+    identity = F.map_filter("metadata", lambda k, _: k.isin("title", "author", "creator"))
+    return df.agg(
+        F.count_if(layout.metadata_available(identity)).alias("with_identity"),
+        F.count(F.lit(1)).alias("documents"))

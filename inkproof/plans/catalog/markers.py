@@ -9,7 +9,7 @@ from inkproof.functions import constants as C
 from inkproof.functions import text as T
 from inkproof.functions.dates import parse_date, parse_pdf_date
 from inkproof.operators import markers as M
-from inkproof.operators.features import stat
+from inkproof.operators.features import stat, stats_fields
 from inkproof.operators.markers import ids, metadata, numerical, structural, textual, visual
 from inkproof.operators.markers import dates as date_rules
 from inkproof.plans import oracle as O
@@ -32,35 +32,35 @@ def rows(df: DataFrame, markers: Column) -> DataFrame:
 
 
 RULES = {
-    "inconsistent_terminology": lambda df: textual.inconsistent_terminology(TEXT),
-    "suspicious_phrases": lambda df: textual.suspicious_phrases(TEXT),
-    "repeated_sentences": lambda df: textual.repeated_sentences(TEXT),
-    "abnormal_capitalization": lambda df: textual.abnormal_capitalization(TEXT),
-    "excessive_exclamation": lambda df: F.filter(
+    "inconsistent_terminology": lambda f: textual.inconsistent_terminology(TEXT),
+    "suspicious_phrases": lambda f: textual.suspicious_phrases(TEXT),
+    "repeated_sentences": lambda f: textual.repeated_sentences(TEXT),
+    "abnormal_capitalization": lambda f: textual.abnormal_capitalization(TEXT),
+    "excessive_exclamation": lambda f: F.filter(
         textual.excessive_punctuation(TEXT), lambda m: m["description"].contains("exclamation")),
-    "excessive_ellipsis": lambda df: F.filter(
+    "excessive_ellipsis": lambda f: F.filter(
         textual.excessive_punctuation(TEXT), lambda m: m["description"].contains("ellipsis")),
-    "template_like_language": lambda df: textual.template_like_language(TEXT),
-    "inconsistent_totals": lambda df: numerical.inconsistent_totals(TEXT),
-    "amount_mismatches": lambda df: numerical.amount_mismatches(TEXT),
-    "percentage_inconsistencies": lambda df: numerical.percentage_inconsistencies(TEXT),
-    "repeated_numbers": lambda df: numerical.repeated_numbers(TEXT),
-    "impossible_dates": lambda df: date_rules.impossible_dates(TEXT),
-    "future_dates": lambda df: date_rules.future_dates(TEXT, DAY),
-    "issue_after_expiry": lambda df: date_rules.issue_after_expiry(TEXT),
-    "inconsistent_date_formats": lambda df: date_rules.inconsistent_date_formats(TEXT),
-    "repeated_ids": lambda df: ids.repeated_ids(ids.rule_ids(TEXT)),
-    "malformed_patterns": lambda df: ids.malformed_patterns(ids.rule_ids(TEXT)),
-    "inconsistent_ids": lambda df: ids.inconsistent_ids(ids.rule_ids(TEXT)),
-    "missing_sections": lambda df: structural.missing_sections(TEXT),
-    "inconsistent_headers_footers": lambda df: structural.inconsistent_headers_footers(TEXT),
-    "page_numbering_issues": lambda df: structural.page_numbering_issues(TEXT, M.int_stat(df, "page_count")),
-    "suspicious_timestamps": lambda df: metadata.suspicious_timestamps(META),
-    "missing_metadata": lambda df: metadata.missing_metadata(META),
-    "inconsistent_creator": lambda df: metadata.inconsistent_creator(META),
-    "compression_artifacts": lambda df: visual.compression_artifacts(stat(df, "suspicious_region_count", 0)),
-    "low_resolution": lambda df: visual.low_resolution(M.int_stat(df, "width"), M.int_stat(df, "height")),
-    "low_ocr_confidence": lambda df: visual.low_ocr_confidence(stat(df, "ocr_confidence", 1)),
+    "template_like_language": lambda f: textual.template_like_language(TEXT),
+    "inconsistent_totals": lambda f: numerical.inconsistent_totals(TEXT),
+    "amount_mismatches": lambda f: numerical.amount_mismatches(TEXT),
+    "percentage_inconsistencies": lambda f: numerical.percentage_inconsistencies(TEXT),
+    "repeated_numbers": lambda f: numerical.repeated_numbers(TEXT),
+    "impossible_dates": lambda f: date_rules.impossible_dates(TEXT),
+    "future_dates": lambda f: date_rules.future_dates(TEXT, DAY),
+    "issue_after_expiry": lambda f: date_rules.issue_after_expiry(TEXT),
+    "inconsistent_date_formats": lambda f: date_rules.inconsistent_date_formats(TEXT),
+    "repeated_ids": lambda f: ids.repeated_ids(ids.rule_ids(TEXT)),
+    "malformed_patterns": lambda f: ids.malformed_patterns(ids.rule_ids(TEXT)),
+    "inconsistent_ids": lambda f: ids.inconsistent_ids(ids.rule_ids(TEXT)),
+    "missing_sections": lambda f: structural.missing_sections(TEXT),
+    "inconsistent_headers_footers": lambda f: structural.inconsistent_headers_footers(TEXT),
+    "page_numbering_issues": lambda f: structural.page_numbering_issues(TEXT, M.int_stat(f, "page_count")),
+    "suspicious_timestamps": lambda f: metadata.suspicious_timestamps(META),
+    "missing_metadata": lambda f: metadata.missing_metadata(META),
+    "inconsistent_creator": lambda f: metadata.inconsistent_creator(META),
+    "compression_artifacts": lambda f: visual.compression_artifacts(stat(f, "suspicious_region_count", 0)),
+    "low_resolution": lambda f: visual.low_resolution(M.int_stat(f, "width"), M.int_stat(f, "height")),
+    "low_ocr_confidence": lambda f: visual.low_ocr_confidence(stat(f, "ocr_confidence", 1)),
 }
 
 
@@ -69,7 +69,7 @@ def _register_rules() -> None:
     for name, build in RULES.items():
         def run(spark: SparkSession, sf_dir: str, build=build) -> DataFrame:
             df = business_documents(spark, sf_dir)
-            return rows(df, build(df))
+            return rows(df, build(stats_fields(df)))
 
         register(
             f"m_{name}", run,

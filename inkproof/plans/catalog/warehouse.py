@@ -1 +1,236 @@
-"""Placeholder."""
+"""History, dashboard and batch queries over the scored documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from inkproof.operators import warehouse as W
+from inkproof.operators.doctype import classify
+from inkproof.operators.features import word_count
+from inkproof.operators.risk import display_category
+from inkproof.plans import oracle as O
+from inkproof.plans.catalog.scoring import TYPE_CTES
+from inkproof.plans.registry import query
+from inkproof.plans.scoring import assess
+from inkproof.sources.business import AS_OF, business_documents
+from inkproof.sources.tables import table
+
+RISK = ["ml_risk_score", "marker_risk_score", "structural_risk_score", "consistency_risk_score",
+        "risk_score", "decision", "confidence"]
+
+
+def documents(spark, sf_dir) -> DataFrame:
+    return business_documents(spark, sf_dir).select(
+        F.col("doc_id").alias("document_id"),
+        F.col("filename").alias("original_filename"),
+        "file_type",
+        F.col("stats.page_count").cast("bigint").alias("pages"),
+        F.col("stats.table_count").cast("bigint").alias("tables_detected"),
+        word_count(F.col("text")).cast("bigint").alias("words"),
+        "uploaded_at",
+    )
+
+
+def analyses(spark, sf_dir) -> DataFrame:
+    """One analysis per document, a second a day later for every tenth; markers stay inside."""
+    scored = assess(business_documents(spark, sf_dir), AS_OF)
+    runs = F.when(F.col("doc_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    kept = scored.select("doc_id", "filename", "file_type", "uploaded_at", "markers", *RISK)
+    return kept.withColumn("run", F.explode(runs)).select(
+        (F.col("doc_id") * 2 + F.col("run")).alias("analysis_id"),
+        F.col("doc_id").alias("document_id"),
+        (F.col("uploaded_at") + F.make_dt_interval(F.col("run"), F.lit(0), F.lit(5))).alias("created_at"),
+        F.col("filename").alias("original_filename"), "file_type", "markers", *RISK,
+    )
+
+
+def marker_table(spark, sf_dir) -> DataFrame:
+    rows = analyses(spark, sf_dir).select("analysis_id", F.posexplode("markers").alias("pos", "m"))
+    return rows.select(
+        "analysis_id", "pos", "m.category", F.left("m.name", F.lit(120)).alias("name"), "m.severity",
+        F.round(F.col("m.score") * 100, 2).alias("score"))
+
+
+STAMP = "date_format(created_at, 'yyyy-MM-dd HH:mm:ss')"
+TS = "strftime(created_at, '%Y-%m-%d %H:%M:%S')"
+AN = """an AS MATERIALIZED (SELECT doc_id * 2 + v AS analysis_id, doc_id AS document_id, uploaded_at + INTERVAL 5 MINUTE + v * INTERVAL 1 DAY AS created_at,
+filename AS original_filename, file_type, n_markers, ml_risk_score, marker_risk_score, structural_risk_score, consistency_risk_score,
+risk_score, decision, confidence FROM scored, (VALUES (0), (1)) r(v) WHERE v = 0 OR doc_id % 10 = 0)"""
+MT = f"mt AS (SELECT an.analysis_id, pos, category, name, severity, {O.half_up('score * 100')} AS score FROM an JOIN mk ON mk.doc_id = an.document_id)"
+CTES = f"WITH {O.scored_ctes()}, {AN}, {MT}"
+DOCS = f"WITH {O.BIZ} "
+
+
+def _stamped(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*[F.expr(STAMP).alias("created_at") if c == "created_at" else c for c in columns])
+
+
+def _slim(spark, sf_dir) -> DataFrame:
+    return analyses(spark, sf_dir).drop("markers", "original_filename", "file_type")
+
+
+@query("w_analyses_documents_join", f"{CTES} SELECT analysis_id, document_id, original_filename, file_type, risk_score FROM an")
+def analyses_documents_join(spark, sf_dir):
+    joined = W.history(_slim(spark, sf_dir), documents(spark, sf_dir))
+    return joined.select("analysis_id", "document_id", "original_filename", "file_type", "risk_score")
+
+
+@query("w_history_filter", f"{CTES} SELECT analysis_id, original_filename, decision FROM an WHERE decision = 'forged' AND (original_filename ILIKE '%INV%' OR file_type ILIKE '%INV%')")
+def history_filter(spark, sf_dir):
+    rows = W.history_filter(analyses(spark, sf_dir), "Forged", " INV ")
+    return rows.select("analysis_id", "original_filename", "decision")
+
+
+@query("w_history_total", f"{CTES} SELECT count(*) AS total FROM an WHERE original_filename ILIKE '%pdf%' OR file_type ILIKE '%pdf%'")
+def history_total(spark, sf_dir):
+    return W.history_filter(analyses(spark, sf_dir), search="pdf").agg(F.count(F.lit(1)).alias("total"))
+
+
+@query("w_history_page", f"{CTES} SELECT analysis_id, {TS} AS created_at, decision FROM (SELECT * FROM an ORDER BY an.created_at DESC, analysis_id DESC LIMIT 20 OFFSET 40) an")
+def history_page(spark, sf_dir):
+    return _stamped(W.history_page(_slim(spark, sf_dir), 40, 20), "analysis_id", "created_at", "decision")
+
+
+@query("w_history_item", f"{CTES} SELECT analysis_id, n_markers AS marker_count FROM an")
+def history_item(spark, sf_dir):
+    return W.marker_counts(_slim(spark, sf_dir), marker_table(spark, sf_dir)).select("analysis_id", "marker_count")
+
+
+@query("w_dashboard_totals", f"{CTES} SELECT (SELECT count(*) FROM biz) AS total_documents, (SELECT count(*) FROM an) AS total_analyses, "
+       f"(SELECT {O.half_up('sum(CAST(risk_score AS DECIMAL(9,2))) / count(*)')} FROM an) AS average_risk_score, (SELECT count(*) FROM mt) AS total_markers")
+def dashboard_totals(spark, sf_dir):
+    return W.dashboard_totals(documents(spark, sf_dir), _slim(spark, sf_dir), marker_table(spark, sf_dir))
+
+
+@query("w_decision_distribution", f"{CTES} SELECT decision, count(*) AS n FROM an GROUP BY 1")
+def decision_distribution(spark, sf_dir):
+    return W.distribution(_slim(spark, sf_dir), "decision")
+
+
+@query("w_doctype_distribution", f"WITH {TYPE_CTES} SELECT document_type, count(*) AS n FROM typed GROUP BY 1")
+def doctype_distribution(spark, sf_dir):
+    return W.distribution(classify(business_documents(spark, sf_dir)), "document_type")
+
+
+@query("w_severity_distribution", f"{CTES} SELECT count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'medium') AS medium, "
+       "count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'critical') AS critical FROM mt")
+def severity_distribution(spark, sf_dir):
+    return W.severity_distribution(marker_table(spark, sf_dir))
+
+
+@query("w_risk_bands", f"{CTES}, t AS (SELECT count(*) AS total FROM an) " + " UNION ALL ".join(
+    f"SELECT '{label}' AS label, count(*) FILTER ({cond}) AS n, {O.half_up(f'count(*) FILTER ({cond}) / CAST(max(total) AS DOUBLE) * 100', 1)} AS percentage FROM an, t"
+    for label, cond in (("Low risk", "risk_score < 30"), ("Medium risk", "risk_score >= 30 AND risk_score < 60"), ("High risk", "risk_score >= 60"))))
+def risk_bands(spark, sf_dir):
+    return W.risk_bands(_slim(spark, sf_dir))
+
+
+@query("w_recent_analyses", f"{CTES} SELECT analysis_id, {TS} AS created_at, risk_score FROM (SELECT * FROM an ORDER BY an.created_at DESC, analysis_id DESC LIMIT 5) an")
+def recent_analyses(spark, sf_dir):
+    return _stamped(W.history_page(_slim(spark, sf_dir), 0, 5), "analysis_id", "created_at", "risk_score")
+
+
+@query("w_activity_last_7_days", f"{CTES} SELECT (SELECT count(*) FROM biz WHERE uploaded_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY) AS files_this_week, "
+       f"(SELECT count(*) FROM an WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY) AS analyses_this_week")
+def activity_last_7_days(spark, sf_dir):
+    now = F.lit(AS_OF).cast("timestamp")
+    files = W.since(documents(spark, sf_dir), "uploaded_at", now).agg(F.count(F.lit(1)).alias("files_this_week"))
+    runs = W.since(_slim(spark, sf_dir), "created_at", now).agg(F.count(F.lit(1)).alias("analyses_this_week"))
+    one = F.lit(1).alias("one")
+    return files.select("*", one).join(runs.select("*", one), "one").drop("one")
+
+
+@query("w_delete_analysis_cascade", f"{CTES} SELECT name, count(*) AS n FROM mt WHERE analysis_id NOT IN (SELECT analysis_id FROM an WHERE decision = 'forged') GROUP BY 1")
+def delete_analysis_cascade(spark, sf_dir):
+    """Markers left after deleting every analysis that ended in ``forged``."""
+    gone = _slim(spark, sf_dir).where(F.col("decision") == "forged")
+    (left,) = W.delete_cascade(gone, marker_table(spark, sf_dir))
+    return W.distribution(left, "name")
+
+
+@query("w_latest_analysis_per_document", f"{CTES} SELECT document_id, max(analysis_id) AS analysis_id FROM an GROUP BY 1")
+def latest_analysis_per_document(spark, sf_dir):
+    return W.latest_per_document(_slim(spark, sf_dir)).select("document_id", "analysis_id")
+
+
+_NESTED = ("SELECT an.analysis_id, an.document_id, an.risk_score, string_agg(name || ':' || CAST(CAST(score AS DECIMAL(9,2)) AS VARCHAR), ';' "
+           "ORDER BY score DESC, pos) AS markers FROM an LEFT JOIN mt ON mt.analysis_id = an.analysis_id {} GROUP BY 1, 2, 3")
+
+
+def nested_results(spark, sf_dir) -> DataFrame:
+    """Analysis rows with their markers, highest stored score first.
+
+    The markers never left the analysis row, so nothing has to be collected per group.
+    """
+    ranked = F.array_sort(F.transform("markers", lambda m, i: F.struct(
+        (-F.round(m["score"] * 100, 2)).alias("k"), i.alias("i"), m["name"].alias("name"))))
+    shown = F.transform(ranked, lambda r: F.concat(r["name"], F.lit(":"), (-r["k"]).cast("decimal(9,2)").cast("string")))
+    return analyses(spark, sf_dir).select(
+        "analysis_id", "document_id", "risk_score", F.array_join(shown, ";").alias("markers"))
+
+
+@query("w_analysis_result_nested", f"{CTES} {_NESTED.format('')}")
+def analysis_result_nested(spark, sf_dir):
+    return nested_results(spark, sf_dir)
+
+
+@query("w_single_result_lookup", f"{CTES} {_NESTED.format('WHERE an.analysis_id = 2040')}")
+def single_result_lookup(spark, sf_dir):
+    return nested_results(spark, sf_dir).where(F.col("analysis_id") == 2040)
+
+
+@query("w_document_content", DOCS + "SELECT doc_id, filename, text, page_count AS pages, coalesce(md_author, '') AS author FROM biz WHERE doc_id = 1155")
+def document_content(spark, sf_dir):
+    df = business_documents(spark, sf_dir).where(F.col("doc_id") == 1155)
+    author = F.coalesce(F.try_element_at("metadata", F.lit("author")), F.lit(""))
+    return df.select("doc_id", "filename", "text", F.col("stats.page_count").alias("pages"), author.alias("author"))
+
+
+_ITEMS = f"""{CTES}, items AS (SELECT o_orderkey AS document_id, coalesce(filename, 'Document #' || o_orderkey) AS original_filename,
+CASE WHEN risk_score IS NULL THEN 'failed' ELSE 'success' END AS status, risk_score, decision
+FROM orders LEFT JOIN scored ON doc_id = o_orderkey)"""
+
+
+def items(spark, sf_dir) -> DataFrame:
+    """Every order is requested; orders without lines have no document."""
+    requested = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"))
+    analysed = assess(business_documents(spark, sf_dir), AS_OF).select(
+        F.col("doc_id").alias("document_id"), F.col("filename").alias("original_filename"), "risk_score", "decision")
+    return W.batch_items(requested, analysed)
+
+
+@query("w_batch_analyze_rollup", f"{_ITEMS} SELECT count(*) AS total_files, count(*) FILTER (status = 'success') AS successful, "
+       f"count(*) FILTER (status = 'failed') AS failed, {O.half_up('sum(CAST(risk_score AS DECIMAL(9,2))) / count(risk_score)')} AS overall_risk_score FROM items")
+def batch_analyze_rollup(spark, sf_dir):
+    return W.batch_rollup(items(spark, sf_dir))
+
+
+@query("w_batch_result_view", f"{_ITEMS} SELECT document_id, original_filename, risk_score FROM items WHERE decision = 'forged' ORDER BY lower(original_filename)")
+def batch_result_view(spark, sf_dir):
+    view = W.batch_view(items(spark, sf_dir), "Forged", "original_filename", ascending=True)
+    return view.select("document_id", "original_filename", "risk_score")
+
+
+@query("w_unique_ids", DOCS + "SELECT DISTINCT doc_id AS document_id FROM biz WHERE lower(filename) IN (SELECT 'invoice_' || o_orderkey || '.pdf' FROM orders)")
+def unique_ids(spark, sf_dir):
+    names = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("INVOICE_"), F.col("o_orderkey").cast("string"), F.lit(".PDF")).alias("filename"))
+    return W.matched_ids(documents(spark, sf_dir), names)
+
+
+@query("w_dashboard_declared", f"{CTES} SELECT name AS top_marker, count(*) AS top_marker_count FROM mt GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+def dashboard_declared(spark, sf_dir):
+    return W.top_marker(marker_table(spark, sf_dir))
+
+
+@query("w_marker_frequency", f"{CTES} SELECT name, count(*) AS n FROM mt GROUP BY 1")
+def marker_frequency(spark, sf_dir):
+    return W.distribution(marker_table(spark, sf_dir), "name")
+
+
+@query("w_display_categories", f"{CTES} SELECT CASE category WHEN 'textual' THEN 'content' WHEN 'numerical' THEN 'inconsistency' WHEN 'date' THEN 'inconsistency' "
+       "WHEN 'id_reference' THEN 'digital' ELSE category END AS category, count(*) AS n FROM mt GROUP BY 1")
+def display_categories(spark, sf_dir):
+    shown = marker_table(spark, sf_dir).select(display_category(F.col("category")).alias("category"))
+    return W.distribution(shown, "category")

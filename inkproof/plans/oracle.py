@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from inkproof.functions import constants as C
 from inkproof.sources.business import AS_OF, render_ansi
 
@@ -55,6 +57,8 @@ BIZ = f"biz AS MATERIALIZED (SELECT *, lower(text) AS low FROM ({render_ansi()})
 
 
 def rule(no: int, seq: str, category: str, name: str, severity: str, score: str, source: str) -> str:
+    # decimal literals become doubles, so that sums carry the same last digits as in Spark
+    score = re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", score)
     sev = severity if severity.startswith("CASE") else q(severity)
     return (
         f"SELECT doc_id, {no} AS rule_no, {seq} AS seq, {q(category)} AS category, {q(name)} AS name, "
