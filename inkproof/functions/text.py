@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkproof.functions.constants import (
@@ -37,6 +37,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def explode_rows(df: DataFrame, array: Column, *keys: str) -> DataFrame:
+    """One row per array element: the keys, ``pos`` and the element ``m``.
+
+    A plain explode makes the optimizer add a size check on the array and push it below,
+    where the whole array expression is computed again.  The outer form plus a filter on
+    its output computes it once.
+    """
+    return df.select(*keys, F.posexplode_outer(array).alias("pos", "m")).where(F.col("m").isNotNull())
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """Stop later filters from being pushed below, and so repeating, costly projections."""
+    row = F.explode_outer(F.array(F.struct(*df.columns))).alias("row")
+    return df.select(row).select("row.*")
+
+
 def pattern(regex: str, ignore_case: bool = False) -> Column:
     return F.lit(f"(?U{'i' if ignore_case else ''}d){regex}")
 

@@ -218,4 +218,5 @@ def entities(df: DataFrame, text_col: str = "text") -> DataFrame:
         F.transform(T.find_each(text, C.FEATURE_ID_PATTERNS), lambda v, i: F.struct(
             F.lit("id").alias("kind"), i.alias("pos"), v.alias("value"))),
     )
-    return df.select("doc_id", F.explode(found).alias("e")).select("doc_id", "e.*")
+    return T.explode_rows(df, found, "doc_id").select(
+        "doc_id", F.col("m.kind").alias("kind"), F.col("m.pos").alias("pos"), F.col("m.value").alias("value"))

@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkproof.functions.text import let
+from inkproof.functions.text import explode_rows, let
 from inkproof.operators.features import stat, stats_fields
 from inkproof.operators.markers.dates import dates_rules
 from inkproof.operators.markers.ids import ids_rules
@@ -69,4 +69,4 @@ def detect_markers(df: DataFrame, as_of: str | None = None) -> DataFrame:
 
 def marker_rows(df: DataFrame, *keys: str) -> DataFrame:
     """Long marker table with the marker's position in its document."""
-    return df.select(*keys, F.posexplode("markers").alias("pos", "m")).select(*keys, "pos", "m.*")
+    return explode_rows(df, F.col("markers"), *keys).select(*keys, "pos", "m.*")

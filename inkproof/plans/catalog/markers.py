@@ -25,7 +25,7 @@ DAY = F.lit(AS_OF).cast("date")
 def rows(df: DataFrame, markers: Column) -> DataFrame:
     """(doc_id, name, severity, score) of one rule."""
     return (
-        df.select("doc_id", F.explode(markers).alias("m"))
+        T.explode_rows(df, markers, "doc_id")
         .select("doc_id", F.col("m.name").alias("name"), F.col("m.severity").alias("severity"),
                 F.round("m.score", 6).alias("score"))
     )
@@ -144,13 +144,13 @@ def marker_evidence(spark, sf_dir):
         textual.suspicious_phrases(TEXT),
         metadata.missing_metadata(META),
     )
-    return df.select("doc_id", F.explode(found).alias("m")).select("doc_id", F.col("m.evidence").alias("evidence"))
+    return T.explode_rows(df, found, "doc_id").select("doc_id", F.col("m.evidence").alias("evidence"))
 
 
 @query("d_parse_date", f"""WITH {O.BIZ}
 SELECT doc_id, v AS raw, strftime({O.day('v')}, '%Y-%m-%d') AS parsed, count(*) AS n FROM {O._unnest(O.DATES_LIST, 'v')} u GROUP BY 1, 2, 3""")
 def parse_dates(spark, sf_dir):
-    df = business_documents(spark, sf_dir).select("doc_id", F.explode(T.date_strings(TEXT)).alias("raw"))
+    df = T.explode_rows(business_documents(spark, sf_dir), T.date_strings(TEXT), "doc_id").withColumnRenamed("m", "raw")
     return (
         df.select("doc_id", "raw", F.date_format(parse_date(F.col("raw")), "yyyy-MM-dd").alias("parsed"))
         .groupBy("doc_id", "raw", "parsed").agg(F.count(F.lit(1)).alias("n"))
@@ -161,7 +161,7 @@ def parse_dates(spark, sf_dir):
 SELECT doc_id, i AS pos, v AS raw, round({O.money('v')}, 6) AS amount FROM {O._unnest(O.hits('text', C.TOTAL_PATTERN, True, 1), 'v')} u""")
 def parse_money(spark, sf_dir):
     found = T.find_all(TEXT, C.TOTAL_PATTERN, 1, True)
-    df = business_documents(spark, sf_dir).select("doc_id", F.posexplode(found).alias("i", "raw"))
+    df = T.explode_rows(business_documents(spark, sf_dir), found, "doc_id").withColumnsRenamed({"pos": "i", "m": "raw"})
     return df.select("doc_id", (F.col("i") + 1).cast("bigint").alias("pos"), "raw",
                      F.round(T.parse_money(F.col("raw")), 6).alias("amount"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkproof.functions import constants as C
-from inkproof.functions.text import let
+from inkproof.functions.text import explode_rows
 from inkproof.operators import doctype, explain, risk
 from inkproof.operators.markers import detect_markers
 from inkproof.plans import oracle as O
@@ -46,8 +46,8 @@ FROM h LEFT JOIN top a ON a.doc_id = h.doc_id AND a.rn = 1 LEFT JOIN top b ON b.
 def doctype_scores(spark, sf_dir):
     df = business_documents(spark, sf_dir)
     scores = doctype.score_array(F.col("text"), F.col("filename"))
-    return df.select("doc_id", F.explode(scores).alias("s")).select(
-        "doc_id", "s.category", F.round("s.score", 6).alias("score"))
+    return explode_rows(df, scores, "doc_id").select(
+        "doc_id", "m.category", F.round("m.score", 6).alias("score"))
 
 
 @query("t_filename_hint", f"WITH {O.BIZ} SELECT doc_id, {_HINT} AS hint FROM biz")
@@ -162,7 +162,7 @@ SELECT doc_id, model_name, round(g, 6) AS genuine_probability,
        round(CASE WHEN abs(g + f - 1) > 0.02 THEN 1 - g ELSE f END, 6) AS fake_probability FROM b""")
 def probability_normalise(spark, sf_dir):
     fixed = F.transform("predictions", risk.normalise_prediction)
-    return predicted(spark, sf_dir).select("doc_id", F.explode(fixed).alias("p")).select("doc_id", "p.*")
+    return explode_rows(predicted(spark, sf_dir), fixed, "doc_id").select("doc_id", "m.*")
 
 
 _WORDS = ["original", " Forged ", "GENUINE", "fake", "authentic", "unclear", None, "fraudulent", "suspicious"]
@@ -217,7 +217,7 @@ SELECT CASE category WHEN 'textual' THEN 'content' WHEN 'numerical' THEN 'incons
 def category_severity_map(spark, sf_dir):
     df = detect_markers(business_documents(spark, sf_dir), AS_OF)
     return (
-        df.select(F.explode("markers").alias("m"))
+        explode_rows(df, F.col("markers"))
         .select(risk.display_category(F.col("m.category")).alias("category"),
                 risk.display_severity(F.col("m.severity")).alias("severity"))
         .groupBy("category", "severity").agg(F.count(F.lit(1)).alias("n"))
@@ -271,7 +271,7 @@ def fallback_breakdown(spark, sf_dir):
 @query("x_pillar_factors", f"WITH {O.scored_ctes()}, pf AS ({_PILLARS}) SELECT doc_id, factor, contribution, direction FROM pf")
 def pillar_factors(spark, sf_dir):
     scored = assess(business_documents(spark, sf_dir), AS_OF)
-    return scored.select("doc_id", F.explode(explain.pillar_factors()).alias("f")).select("doc_id", "f.*")
+    return explode_rows(scored, explain.pillar_factors(), "doc_id").select("doc_id", "m.*")
 
 
 @query("x_factor_direction", f"""WITH {O.scored_ctes()}, pf AS ({_PILLARS})
@@ -279,8 +279,8 @@ SELECT factor, direction, count(*) AS n FROM pf GROUP BY 1, 2""")
 def factor_direction(spark, sf_dir):
     scored = assess(business_documents(spark, sf_dir), AS_OF)
     return (
-        scored.select(F.explode(explain.pillar_factors()).alias("f"))
-        .groupBy(F.col("f.factor").alias("factor"), F.col("f.direction").alias("direction"))
+        explode_rows(scored, explain.pillar_factors())
+        .groupBy(F.col("m.factor").alias("factor"), F.col("m.direction").alias("direction"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -289,23 +289,23 @@ def factor_direction(spark, sf_dir):
 def top_markers(spark, sf_dir):
     df = detect_markers(business_documents(spark, sf_dir), AS_OF)
     best = explain.top_markers(F.col("markers"))
-    return df.select("doc_id", F.posexplode(best).alias("i", "m")).select(
-        "doc_id", (F.col("i") + 1).cast("bigint").alias("rank"), "m.name", F.round("m.score", 6).alias("score"))
+    return explode_rows(df, best, "doc_id").select(
+        "doc_id", (F.col("pos") + 1).cast("bigint").alias("rank"), "m.name", F.round("m.score", 6).alias("score"))
 
 
 @query("x_marker_contribution", f"WITH {O.marker_ctes()} SELECT doc_id, pos, name, {_CONTRIB} AS contribution FROM mk")
 def marker_contribution(spark, sf_dir):
     df = detect_markers(business_documents(spark, sf_dir), AS_OF)
-    return df.select("doc_id", F.posexplode("markers").alias("i", "m")).select(
-        "doc_id", F.col("i").cast("bigint").alias("pos"), "m.name",
+    return explode_rows(df, F.col("markers"), "doc_id").select(
+        "doc_id", F.col("pos").cast("bigint").alias("pos"), "m.name",
         explain.marker_contribution(F.col("m")).alias("contribution"))
 
 
 @query("x_top_factors", f"WITH {O.scored_ctes()}, {_TOP} SELECT doc_id, rank, factor, contribution, direction FROM tf WHERE rank <= 7")
 def top_factors(spark, sf_dir):
     df = explained(spark, sf_dir)
-    return df.select("doc_id", F.posexplode("explanation.top_factors").alias("i", "f")).select(
-        "doc_id", (F.col("i") + 1).cast("bigint").alias("rank"), "f.*")
+    return explode_rows(df, F.col("explanation.top_factors"), "doc_id").select(
+        "doc_id", (F.col("pos") + 1).cast("bigint").alias("rank"), "m.*")
 
 
 _MS = f"""cc AS (SELECT doc_id, category, count(*) AS n, min(pos) AS p FROM mk GROUP BY 1, 2),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkproof.functions.text import explode_rows
 from inkproof.operators import warehouse as W
 from inkproof.operators.doctype import classify
 from inkproof.operators.features import word_count
@@ -46,7 +47,7 @@ def analyses(spark, sf_dir) -> DataFrame:
 
 
 def marker_table(spark, sf_dir) -> DataFrame:
-    rows = analyses(spark, sf_dir).select("analysis_id", F.posexplode("markers").alias("pos", "m"))
+    rows = explode_rows(analyses(spark, sf_dir), F.col("markers"), "analysis_id")
     return rows.select(
         "analysis_id", "pos", "m.category", F.left("m.name", F.lit(120)).alias("name"), "m.severity",
         F.round(F.col("m.score") * 100, 2).alias("score"))

@@ -10,7 +10,7 @@ from inkproof.operators.explain import explain_documents
 from inkproof.operators.features import extract_features
 from inkproof.operators.markers import detect_markers
 from inkproof.operators.risk import Thresholds, fold_back, score_documents
-from inkproof.functions.text import is_blank
+from inkproof.functions.text import computed_once, is_blank
 
 
 def assess(df: DataFrame, as_of: str | None = None, thresholds: Thresholds = Thresholds()) -> DataFrame:
@@ -20,7 +20,7 @@ def assess(df: DataFrame, as_of: str | None = None, thresholds: Thresholds = Thr
     readable text are left out.
     """
     readable = df.where(~is_blank(F.col("text")))
-    return score_documents(fold_back(detect_markers(readable, as_of)), thresholds)
+    return computed_once(score_documents(fold_back(detect_markers(readable, as_of)), thresholds))
 
 
 def analyse(
@@ -30,4 +30,4 @@ def analyse(
     """Features, markers, document type, risk and explanation for every document."""
     readable = df.where(~is_blank(F.col("text")))
     marked = fold_back(detect_markers(extract_features(readable), as_of))
-    return explain_documents(score_documents(classify(marked, filename_col), thresholds))
+    return computed_once(explain_documents(score_documents(classify(marked, filename_col), thresholds)))
