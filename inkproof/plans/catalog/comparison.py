@@ -1 +1,136 @@
-"""Placeholder."""
+"""Comparison queries: every document with its neighbour by key, and the corpus join."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inkproof.functions import constants as C
+from inkproof.operators import compare as P
+from inkproof.plans import oracle as O
+from inkproof.plans.registry import query
+from inkproof.plans.scoring import assess
+from inkproof.session import spread
+from inkproof.sources.business import AS_OF, business_documents
+from inkproof.sources.tables import table
+
+WORDS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'))"
+JACCARD = "len(list_intersect(wa, wb)) / CAST(len(list_distinct(list_concat(wa, wb))) AS DOUBLE)"
+
+
+def prose_pairs(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    pairs = docs.select(F.col("doc_id").alias("doc_a"), (F.col("doc_id") + 1).alias("doc_b"))
+    return P.pair_up(pairs, docs)
+
+
+@query("c_token_jaccard", f"""SELECT doc_a, doc_b, round({JACCARD}, 6) AS jaccard FROM (
+SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, {WORDS.format('a.text')} AS wa, {WORDS.format('b.text')} AS wb
+FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1) t""")
+def token_jaccard(spark, sf_dir):
+    score = P.jaccard(P.word_set(F.col("a_text")), P.word_set(F.col("b_text")))
+    return prose_pairs(spark, sf_dir).select("doc_a", "doc_b", F.round(score, 6).alias("jaccard"))
+
+
+@query("c_sequence_ratio")
+def sequence_ratio(spark, sf_dir):
+    return P.text_similarity(prose_pairs(spark, sf_dir)).select("doc_a", "doc_b", F.round("sequence", 6).alias("sequence"))
+
+
+@query("c_text_similarity")
+def text_similarity(spark, sf_dir):
+    return P.text_similarity(prose_pairs(spark, sf_dir)).select("doc_a", "doc_b", "similarity")
+
+
+
+
+def _extract(name, column, regex, ignore_case=True, group=0, keep=""):
+    values = O._unnest(O.hits("text", regex, ignore_case, group), "v")
+    sql = f"""WITH {O.BIZ}, f AS (SELECT doc_id, v, min(i) AS i FROM {values} u {keep} GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM f)
+SELECT biz.doc_id, coalesce(string_agg(v, ' | ' ORDER BY rn), '') AS found FROM biz LEFT JOIN r ON r.doc_id = biz.doc_id AND rn <= 15 GROUP BY 1"""
+
+    def run(spark, sf_dir):
+        return business_documents(spark, sf_dir).select("doc_id", F.array_join(column(F.col("text")), " | ").alias("found"))
+
+    query(name, sql)(run)
+
+
+_extract("c_extract_dates", P.dates_of, C.COMPARE_DATE_PATTERN)
+_extract("c_extract_ids", P.ids_of, C.COMPARE_ID_PATTERN)
+_extract("c_extract_numbers", P.numbers_of, C.COMPARE_NUMBER_PATTERN, False, 1, "WHERE length(v) > 1")
+
+
+def business_pairs(spark, sf_dir, with_risk=True):
+    """Each order's document with that of the next order number."""
+    base = business_documents(spark, sf_dir)
+    docs = assess(base, AS_OF) if with_risk else base
+    meta = lambda k: F.nullif(F.try_element_at("metadata", F.lit(k)), F.lit(""))
+    risk = ["risk_score", "decision", F.array_distinct(F.transform("markers", lambda m: m["name"])).alias("marker_names")] if with_risk else []
+    side = docs.select(
+        "doc_id", "doc_kind", F.coalesce(F.get(P.dates_of(F.col("text")), F.lit(0)), F.lit("")).alias("date"),
+        P.dates_of(F.col("text")).alias("dates"), P.numbers_of(F.col("text")).alias("numbers"),
+        F.trim(F.coalesce(meta("creator"), meta("author"), F.lit(""))).alias("origin"),
+        F.col("stats.page_count").alias("pages"), *risk)
+    pairs = side.select(F.col("doc_id").alias("doc_a"), (F.col("doc_id") + 1).alias("doc_b"))
+    if not with_risk:
+        return P.pair_up(pairs, side)
+    pairs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_a"), (F.col("o_orderkey") + 1).alias("doc_b"))
+    return P.pair_up(pairs, side)
+
+
+@query("c_common_entities")
+def common_entities(spark, sf_dir):
+    both = business_pairs(spark, sf_dir, with_risk=False)
+    return both.select(
+        "doc_a", "doc_b",
+        F.array_join(F.array_sort(F.array_intersect("a_dates", "b_dates")), " | ").alias("dates"),
+        F.array_join(F.array_sort(F.array_intersect("a_numbers", "b_numbers")), " | ").alias("numbers"))
+
+
+_SIDE = f"""s AS (SELECT doc_id, risk_score, decision, page_count AS pages,
+trim(coalesce(nullif(md_creator, ''), nullif(md_author, ''), '')) AS origin, coalesce({O.hits('text', C.COMPARE_DATE_PATTERN, True)}[1], '') AS dt FROM scored),
+pr AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.dt <> '' AND b.dt <> '' AND a.dt <> b.dt AS d1, a.decision <> b.decision AS d2,
+a.origin <> '' AND b.origin <> '' AND lower(a.origin) <> lower(b.origin) AS d3, a.pages <> b.pages AS d4,
+a.risk_score AS ra, b.risk_score AS rb FROM s a JOIN s b ON b.doc_id = a.doc_id + 1)"""
+
+
+def _sides():
+    keys = ["date", "decision", "risk_score", "origin", "pages"]
+    return [{k: F.col(f"{p}_{k}") for k in keys} for p in "ab"]
+
+
+@query("c_differences", f"WITH {O.scored_ctes()}, {_SIDE} SELECT doc_a, doc_b, {O.n_true(['d1', 'd2', 'd3', 'd4'])} AS n_differences FROM pr")
+def differences(spark, sf_dir):
+    found = P.differences(*_sides())
+    return business_pairs(spark, sf_dir).select("doc_a", "doc_b", F.size(found).alias("n_differences"))
+
+
+@query("c_field_comparison", f"""WITH {O.scored_ctes()}, {_SIDE}
+SELECT doc_a, doc_b, abs(ra - rb) < 5 AS risk_matches, NOT d2 AS decision_matches, NOT d4 AS page_matches, NOT d3 AS author_matches FROM pr""")
+def field_comparison(spark, sf_dir):
+    a, b = _sides()
+    differs = (F.length(a["origin"]) > 0) & (F.length(b["origin"]) > 0) & (F.lower(a["origin"]) != F.lower(b["origin"]))
+    return business_pairs(spark, sf_dir).select(
+        "doc_a", "doc_b", (F.abs(a["risk_score"] - b["risk_score"]) < 5).alias("risk_matches"),
+        (a["decision"] == b["decision"]).alias("decision_matches"), (a["pages"] == b["pages"]).alias("page_matches"),
+        (~differs).alias("author_matches"))
+
+
+@query("c_comparison_summary", f"""WITH {O.scored_ctes()}, {_SIDE}
+SELECT doc_a, doc_b, {O.half_up('abs(ra - rb)')} AS risk_difference, CASE WHEN d1 OR d2 OR d3 OR d4 THEN {O.q(C.VERDICT_DIFFERENT)} ELSE {O.q(C.VERDICT_SAME)} END AS verdict FROM pr""")
+def comparison_summary(spark, sf_dir):
+    a, b = _sides()
+    return business_pairs(spark, sf_dir).select(
+        "doc_a", "doc_b", F.round(F.abs(a["risk_score"] - b["risk_score"]), 2).alias("risk_difference"),
+        F.when(F.size(P.differences(a, b)) > 0, C.VERDICT_DIFFERENT).otherwise(C.VERDICT_SAME).alias("verdict"))
+
+
+@query("c_corpus_pair_join", f"""WITH w AS (SELECT doc_id, list_sort({WORDS.format('text')}) AS w FROM documents),
+e AS (SELECT w, min(doc_id) AS rep, count(*) AS copies FROM w WHERE len(w) > 0 GROUP BY 1),
+t AS (SELECT rep, len(w) AS n, unnest(w) AS x FROM e),
+s AS (SELECT a.rep AS ra, b.rep AS rb, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM t a JOIN t b ON a.x = b.x AND a.rep < b.rep GROUP BY 1, 2)
+SELECT ra AS rep_a, rb AS rep_b, ea.copies AS copies_a, eb.copies AS copies_b, round(shared / CAST(na + nb - shared AS DOUBLE), 6) AS jaccard
+FROM s JOIN e ea ON ea.rep = ra JOIN e eb ON eb.rep = rb WHERE shared / CAST(na + nb - shared AS DOUBLE) >= 0.8""")
+def corpus_pair_join(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return P.similar_pairs(docs, 0.8).withColumn("jaccard", F.round("jaccard", 6))
