@@ -1 +1,135 @@
-"""Placeholder."""
+"""Text preparation, split, TF-IDF, training and evaluation queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inkproof.operators import learning as L
+from inkproof.operators.features import extract_features, feature_vector
+from inkproof.operators.warehouse import metrics_upsert
+from inkproof.plans import oracle as O
+from inkproof.plans.registry import query
+from inkproof.session import spread
+from inkproof.sources.business import business_documents
+from inkproof.sources.tables import table
+
+STOP = ["the", "and", "of", "to", "in", "a", "is", "that", "for", "it", "on", "by", "with", "as", "der", "die", "und", "de", "la", "el", "en", "et", "le"]
+CLEAN = f"trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9{O.WS}]+', ' ', 'g'), '[{O.WS}]+', ' ', 'g'))"
+
+
+@query("ml_clean_text", f"SELECT doc_id, md5({CLEAN}) AS cleaned FROM documents")
+def clean_text(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", F.md5(L.clean_text(F.col("text"))).alias("cleaned"))
+
+
+@query("ml_label_normalise", """SELECT doc_id, CASE WHEN toxic = 1 THEN 1 WHEN doc_id % 3 = 0 THEN NULL ELSE 0 END AS label FROM labels""")
+def label_normalise(spark, sf_dir):
+    raw = F.when(F.col("toxic") == 1, F.lit(" Forged ")).when(F.col("doc_id") % 3 == 0, F.lit("unsure")).otherwise(F.lit("genuine"))
+    return table(spark, sf_dir, "labels").select("doc_id", L.normalise_label(raw).alias("label"))
+
+
+@query("ml_class_balance", f"""WITH {O.BIZ} SELECT count(*) AS total_rows, CAST(floor(count(*) * 0.8) AS BIGINT) AS training_samples,
+count(*) - CAST(floor(count(*) * 0.8) AS BIGINT) AS testing_samples, count(*) FILTER (label = 0) AS genuine, count(*) FILTER (label = 1) AS fake FROM biz""")
+def class_balance(spark, sf_dir):
+    return L.class_balance(business_documents(spark, sf_dir))
+
+
+@query("ml_stratified_split", f"""WITH {O.BIZ}, r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || doc_id), doc_id) AS rn,
+count(*) OVER (PARTITION BY label) AS n FROM biz) SELECT doc_id, label, rn <= ceil(n / 5.0) AS is_test FROM r""")
+def stratified_split(spark, sf_dir):
+    return L.stratified_split(business_documents(spark, sf_dir).select("doc_id", "label"), "doc_id", "label")
+
+
+_STOPS = ", ".join(O.q(w) for w in STOP)
+
+
+@query("ml_tfidf_vectorize", f"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all({CLEAN}, '[a-z0-9]{{2,}}'), lambda w: w NOT IN ({_STOPS})) AS w FROM documents),
+g AS (SELECT doc_id, unnest(w) AS term FROM t UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM t) x),
+c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2),
+v AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf, sum(tf) AS uses FROM c GROUP BY 1
+HAVING count(*) <= 0.95 * (SELECT count(*) FROM documents) ORDER BY uses DESC, term LIMIT 5000),
+r AS (SELECT doc_id, c.term, (1 + ln(tf)) * idf AS raw FROM c JOIN v ON v.term = c.term)
+SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 5) AS weight FROM r""")
+def tfidf_vectorize(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return L.tfidf(docs, STOP).withColumn("weight", F.round("weight", 5))
+
+
+_SCORERS = [("logistic_regression", 997), ("random_forest", 409), ("xgboost", 211)]
+PRED = "pr AS (" + " UNION ALL ".join(
+    f"SELECT l.doc_id, l.toxic AS label, '{name}' AS model_name, round((n_chars % {p}) / CAST({p} AS DOUBLE), 6) AS score FROM labels l JOIN documents d ON d.doc_id = l.doc_id"
+    for name, p in _SCORERS) + ")"
+
+
+def scored_labels(spark, sf_dir):
+    """Three simple length-based scorers against the toxicity label."""
+    joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    scores = F.array(*[
+        F.struct(F.lit(n).alias("model_name"), F.round((F.col("n_chars") % p) / F.lit(float(p)), 6).alias("score"))
+        for n, p in _SCORERS])
+    return joined.select("doc_id", F.col("toxic").alias("label"), F.explode(scores).alias("s")).select("doc_id", "label", "s.*")
+
+
+_M = """SELECT model_name, round(count(*) FILTER ((label = 1) = (score >= 0.5)) / CAST(count(*) AS DOUBLE), 6) AS accuracy,
+round(coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0), 6) AS precision, round(coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0), 6) AS recall,
+round(coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0), 6) AS f1 FROM pr JOIN (SELECT model_name AS m,
+count(*) FILTER (label = 1 AND score >= 0.5) AS tp, count(*) FILTER (label = 0 AND score >= 0.5) AS fp, count(*) FILTER (label = 1 AND score < 0.5) AS fn
+FROM pr GROUP BY 1) k ON m = model_name GROUP BY model_name, tp, fp, fn"""
+_COLS = ["accuracy", "precision", "recall", "f1"]
+
+
+def _rounded(df):
+    return df.select("model_name", *[F.round(c, 6).alias(c) for c in _COLS])
+
+
+@query("ml_classification_metrics", f"WITH {PRED} {_M}")
+def classification_metrics(spark, sf_dir):
+    return _rounded(L.metrics(scored_labels(spark, sf_dir)))
+
+
+@query("w_model_leaderboard", f"WITH {PRED} SELECT * FROM ({_M}) t ORDER BY model_name")
+def model_leaderboard(spark, sf_dir):
+    return _rounded(L.metrics(scored_labels(spark, sf_dir))).orderBy("model_name")
+
+
+@query("ml_metrics_comparison", f"WITH {PRED}, m AS ({_M}) " + " UNION ALL ".join(
+    f"SELECT model_name, '{c}' AS metric, {c} AS value FROM m" for c in _COLS))
+def metrics_comparison(spark, sf_dir):
+    return L.comparison(_rounded(L.metrics(scored_labels(spark, sf_dir))))
+
+
+@query("ml_roc_auc", f"""WITH {PRED} SELECT a.model_name, round(avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END), 6) AS roc_auc
+FROM pr a JOIN pr b ON a.model_name = b.model_name AND a.label = 1 AND b.label = 0 GROUP BY 1""")
+def roc_auc(spark, sf_dir):
+    return L.roc_auc(scored_labels(spark, sf_dir)).withColumn("roc_auc", F.round("roc_auc", 6))
+
+
+@query("ml_roc_curve", f"""WITH {PRED}, s AS (SELECT DISTINCT model_name, score FROM pr)
+SELECT s.model_name, s.score AS threshold, round(count(*) FILTER (label = 0 AND pr.score >= s.score) / CAST(count(*) FILTER (label = 0) AS DOUBLE), 6) AS fpr,
+round(count(*) FILTER (label = 1 AND pr.score >= s.score) / CAST(count(*) FILTER (label = 1) AS DOUBLE), 6) AS tpr
+FROM s JOIN pr ON pr.model_name = s.model_name GROUP BY 1, 2""")
+def roc_curve(spark, sf_dir):
+    return L.roc_curve(scored_labels(spark, sf_dir)).withColumns({"fpr": F.round("fpr", 6), "tpr": F.round("tpr", 6)})
+
+
+@query("ml_confusion_matrix", f"WITH {PRED} SELECT model_name, label, count(*) FILTER (score < 0.5) AS predicted_0, count(*) FILTER (score >= 0.5) AS predicted_1 FROM pr GROUP BY 1, 2")
+def confusion_matrix(spark, sf_dir):
+    return L.confusion_matrix(scored_labels(spark, sf_dir))
+
+
+@query("snk_metrics_upsert", f"WITH {PRED}, m AS ({_M}) SELECT model_name, CASE WHEN model_name = 'random_forest' THEN accuracy ELSE 1 - accuracy END AS accuracy FROM m")
+def upsert(spark, sf_dir):
+    """A later run replaces two of the three models."""
+    base = _rounded(L.metrics(scored_labels(spark, sf_dir))).select("model_name", "accuracy").withColumn("run_ts", F.lit(1))
+    later = base.where(F.col("model_name") != "random_forest").withColumns({"accuracy": 1 - F.col("accuracy"), "run_ts": F.lit(2)})
+    return metrics_upsert(base, later).select("model_name", "accuracy")
+
+
+@query("ml_train_and_predict")
+def train_and_predict(spark, sf_dir):
+    """Three classifiers fitted on four fifths of the rendered documents, applied to the rest."""
+    docs = feature_vector(extract_features(business_documents(spark, sf_dir))).select("doc_id", "label", "features")
+    split = L.stratified_split(docs, "doc_id", "label").cache()
+    models = L.train_models(split.where(~F.col("is_test")), trees=20, rounds=10)
+    return L.predict(models, split.where("is_test"))

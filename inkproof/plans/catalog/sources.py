@@ -1 +1,57 @@
-"""Placeholder."""
+"""Source queries over file tables derived from the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inkproof.plans.registry import query
+from inkproof.session import spread
+from inkproof.sources import files as S
+from inkproof.sources.tables import table
+
+
+@query("src_corpus_scan", "SELECT doc_id, lang, source, n_chars FROM documents")
+def corpus_scan(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+
+
+@query("src_text_file_ingest", "SELECT doc_id, md5(text) AS text_hash, CASE WHEN doc_id % 3 = 0 THEN 'utf-8-sig (BOM)' WHEN doc_id % 3 = 1 THEN 'utf-16' ELSE 'utf-8' END AS encoding FROM documents")
+def text_file_ingest(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    utf8 = F.encode("text", "UTF-8")
+    content = (
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), utf8))
+        .when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))
+        .otherwise(utf8))
+    read = S.decode_files(docs.select("doc_id", content.alias("content")))
+    return read.select("doc_id", F.md5("text").alias("text_hash"), "encoding")
+
+
+NAME = "concat(CASE p_partkey % 4 WHEN 0 THEN 'C:\\in\\' WHEN 1 THEN '../up/' ELSE '' END, p_name, ' (', CAST(p_partkey AS STRING), ')', CASE p_partkey % 5 WHEN 0 THEN '.PDF' WHEN 1 THEN '.exe' WHEN 2 THEN '.docx' WHEN 3 THEN '' ELSE '.png' END)"
+SIZE = "(CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE p_partkey * 20000 END)"
+
+
+def uploads(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.expr(NAME.replace("\\", "\\\\")).alias("name"), F.expr(SIZE).alias("size"))
+
+
+@query("src_upload_filter", f"""SELECT coalesce(CASE WHEN p_partkey % 5 = 3 AND p_partkey % 4 <> 1 THEN 'no extension' WHEN p_partkey % 5 IN (1, 3) THEN 'extension not allowed'
+WHEN {SIZE} = 0 THEN 'File is empty' WHEN {SIZE} > 26214400 THEN 'too large' END, 'accepted') AS status, count(*) AS n FROM part GROUP BY 1""")
+def upload_filter(spark, sf_dir):
+    status = F.coalesce(S.upload_status(F.col("name"), F.col("size")), F.lit("accepted"))
+    return uploads(spark, sf_dir).groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("src_filename_sanitize", """SELECT p_partkey, trim(regexp_replace(regexp_replace(concat(p_name, ' (', CAST(p_partkey AS VARCHAR), ')'), '[^\\w.-]', '_', 'g'), '_{2,}', '_', 'g'), '_-')
+|| CASE p_partkey % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.exe' WHEN 2 THEN '.docx' WHEN 3 THEN '' ELSE '.png' END AS safe FROM part""")
+def filename_sanitize(spark, sf_dir):
+    return uploads(spark, sf_dir).select("p_partkey", S.sanitize_filename(F.col("name")).alias("safe"))
+
+
+@query("src_mime_sniff", "SELECT CASE p_partkey % 3 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' END AS mime, count(*) AS n FROM part GROUP BY 1")
+def mime_sniff(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    magic = F.when(k == 0, F.lit("25504446")).when(k == 1, F.lit("89504E470D0A1A0A")).otherwise(F.lit("00"))
+    content = F.concat(F.unhex(magic), F.encode("p_name", "UTF-8"))
+    return table(spark, sf_dir, "part").groupBy(S.sniff_mime(content).alias("mime")).agg(F.count(F.lit(1)).alias("n"))

@@ -1 +1,15 @@
-"""Placeholder."""
+"""Streaming queries in batch form; the tests compare them with their streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inkproof.plans.registry import query
+from inkproof.sources.tables import table
+from inkproof.streaming.jobs import daily_volume
+
+
+@query("st_scan_volume_window", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
+def scan_volume_window(spark, sf_dir):
+    return daily_volume(table(spark, sf_dir, "events")).select(
+        F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
