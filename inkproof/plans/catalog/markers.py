@@ -18,8 +18,18 @@ from inkproof.session import spread
 from inkproof.sources.business import AS_OF, business_documents
 from inkproof.sources.tables import prose_documents
 
-TEXT, META = F.col("text"), F.col("metadata")
-DAY = F.lit(AS_OF).cast("date")
+
+
+def text() -> Column:
+    return F.col("text")
+
+
+def meta() -> Column:
+    return F.col("metadata")
+
+
+def day() -> Column:
+    return F.lit(AS_OF).cast("date")
 
 
 def rows(df: DataFrame, markers: Column) -> DataFrame:
@@ -32,32 +42,32 @@ def rows(df: DataFrame, markers: Column) -> DataFrame:
 
 
 RULES = {
-    "inconsistent_terminology": lambda f: textual.inconsistent_terminology(TEXT),
-    "suspicious_phrases": lambda f: textual.suspicious_phrases(TEXT),
-    "repeated_sentences": lambda f: textual.repeated_sentences(TEXT),
-    "abnormal_capitalization": lambda f: textual.abnormal_capitalization(TEXT),
+    "inconsistent_terminology": lambda f: textual.inconsistent_terminology(text()),
+    "suspicious_phrases": lambda f: textual.suspicious_phrases(text()),
+    "repeated_sentences": lambda f: textual.repeated_sentences(text()),
+    "abnormal_capitalization": lambda f: textual.abnormal_capitalization(text()),
     "excessive_exclamation": lambda f: F.filter(
-        textual.excessive_punctuation(TEXT), lambda m: m["description"].contains("exclamation")),
+        textual.excessive_punctuation(text()), lambda m: m["description"].contains("exclamation")),
     "excessive_ellipsis": lambda f: F.filter(
-        textual.excessive_punctuation(TEXT), lambda m: m["description"].contains("ellipsis")),
-    "template_like_language": lambda f: textual.template_like_language(TEXT),
-    "inconsistent_totals": lambda f: numerical.inconsistent_totals(TEXT),
-    "amount_mismatches": lambda f: numerical.amount_mismatches(TEXT),
-    "percentage_inconsistencies": lambda f: numerical.percentage_inconsistencies(TEXT),
-    "repeated_numbers": lambda f: numerical.repeated_numbers(TEXT),
-    "impossible_dates": lambda f: date_rules.impossible_dates(TEXT),
-    "future_dates": lambda f: date_rules.future_dates(TEXT, DAY),
-    "issue_after_expiry": lambda f: date_rules.issue_after_expiry(TEXT),
-    "inconsistent_date_formats": lambda f: date_rules.inconsistent_date_formats(TEXT),
-    "repeated_ids": lambda f: ids.repeated_ids(ids.rule_ids(TEXT)),
-    "malformed_patterns": lambda f: ids.malformed_patterns(ids.rule_ids(TEXT)),
-    "inconsistent_ids": lambda f: ids.inconsistent_ids(ids.rule_ids(TEXT)),
-    "missing_sections": lambda f: structural.missing_sections(TEXT),
-    "inconsistent_headers_footers": lambda f: structural.inconsistent_headers_footers(TEXT),
-    "page_numbering_issues": lambda f: structural.page_numbering_issues(TEXT, M.int_stat(f, "page_count")),
-    "suspicious_timestamps": lambda f: metadata.suspicious_timestamps(META),
-    "missing_metadata": lambda f: metadata.missing_metadata(META),
-    "inconsistent_creator": lambda f: metadata.inconsistent_creator(META),
+        textual.excessive_punctuation(text()), lambda m: m["description"].contains("ellipsis")),
+    "template_like_language": lambda f: textual.template_like_language(text()),
+    "inconsistent_totals": lambda f: numerical.inconsistent_totals(text()),
+    "amount_mismatches": lambda f: numerical.amount_mismatches(text()),
+    "percentage_inconsistencies": lambda f: numerical.percentage_inconsistencies(text()),
+    "repeated_numbers": lambda f: numerical.repeated_numbers(text()),
+    "impossible_dates": lambda f: date_rules.impossible_dates(text()),
+    "future_dates": lambda f: date_rules.future_dates(text(), day()),
+    "issue_after_expiry": lambda f: date_rules.issue_after_expiry(text()),
+    "inconsistent_date_formats": lambda f: date_rules.inconsistent_date_formats(text()),
+    "repeated_ids": lambda f: ids.repeated_ids(ids.rule_ids(text())),
+    "malformed_patterns": lambda f: ids.malformed_patterns(ids.rule_ids(text())),
+    "inconsistent_ids": lambda f: ids.inconsistent_ids(ids.rule_ids(text())),
+    "missing_sections": lambda f: structural.missing_sections(text()),
+    "inconsistent_headers_footers": lambda f: structural.inconsistent_headers_footers(text()),
+    "page_numbering_issues": lambda f: structural.page_numbering_issues(text(), M.int_stat(f, "page_count")),
+    "suspicious_timestamps": lambda f: metadata.suspicious_timestamps(meta()),
+    "missing_metadata": lambda f: metadata.missing_metadata(meta()),
+    "inconsistent_creator": lambda f: metadata.inconsistent_creator(meta()),
     "compression_artifacts": lambda f: visual.compression_artifacts(stat(f, "suspicious_region_count", 0)),
     "low_resolution": lambda f: visual.low_resolution(M.int_stat(f, "width"), M.int_stat(f, "height")),
     "low_ocr_confidence": lambda f: visual.low_ocr_confidence(stat(f, "ocr_confidence", 1)),
@@ -85,7 +95,7 @@ _register_rules()
 def repeated_sentences_prose(spark, sf_dir):
     """Repeated sentences over the prose corpus, whose documents run to 20 000 words."""
     df = spread(prose_documents(spark, sf_dir), "doc_id")
-    counts = df.select("doc_id", textual.repeated_sentence_counts(TEXT).alias("c"))
+    counts = df.select("doc_id", textual.repeated_sentence_counts(text()).alias("c"))
     return counts.where(F.size("c") > 0).select(
         "doc_id",
         F.size("c").cast("bigint").alias("repeated"),
@@ -96,7 +106,7 @@ def repeated_sentences_prose(spark, sf_dir):
 @query("m_amount_mismatches_prose", f"SELECT doc_id, n AS mismatches FROM ({O.mismatch_counts('documents')}) t WHERE n > 0")
 def amount_mismatches_prose(spark, sf_dir):
     df = spread(prose_documents(spark, sf_dir), "doc_id")
-    pairs = df.select("doc_id", numerical.amount_pairs(TEXT).alias("p"))
+    pairs = df.select("doc_id", numerical.amount_pairs(text()).alias("p"))
     return pairs.where(F.size("p") > 0).select("doc_id", F.size("p").cast("bigint").alias("mismatches"))
 
 
@@ -105,7 +115,7 @@ SELECT doc_id, len(list_filter(l, lambda x: regexp_matches(x, '\\p{{Lu}}') AND N
 FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 3) AS l FROM documents) a""")
 def capital_lines_prose(spark, sf_dir):
     df = spread(prose_documents(spark, sf_dir), "doc_id")
-    return df.select("doc_id", textual.capital_line_counts(TEXT).alias("c")).select(
+    return df.select("doc_id", textual.capital_line_counts(text()).alias("c")).select(
         "doc_id", F.col("c.caps").cast("bigint").alias("caps"), F.col("c.total").cast("bigint").alias("total"))
 
 
@@ -140,9 +150,9 @@ def marker_evidence(spark, sf_dir):
     """Rendered evidence strings of three rules."""
     df = business_documents(spark, sf_dir)
     found = F.concat(
-        F.filter(date_rules.impossible_dates(TEXT), lambda m: m["evidence"].startswith("February 30th")),
-        textual.suspicious_phrases(TEXT),
-        metadata.missing_metadata(META),
+        F.filter(date_rules.impossible_dates(text()), lambda m: m["evidence"].startswith("February 30th")),
+        textual.suspicious_phrases(text()),
+        metadata.missing_metadata(meta()),
     )
     return T.explode_rows(df, found, "doc_id").select("doc_id", F.col("m.evidence").alias("evidence"))
 
@@ -150,7 +160,7 @@ def marker_evidence(spark, sf_dir):
 @query("d_parse_date", f"""WITH {O.BIZ}
 SELECT doc_id, v AS raw, strftime({O.day('v')}, '%Y-%m-%d') AS parsed, count(*) AS n FROM {O._unnest(O.DATES_LIST, 'v')} u GROUP BY 1, 2, 3""")
 def parse_dates(spark, sf_dir):
-    df = T.explode_rows(business_documents(spark, sf_dir), T.date_strings(TEXT), "doc_id").withColumnRenamed("m", "raw")
+    df = T.explode_rows(business_documents(spark, sf_dir), T.date_strings(text()), "doc_id").withColumnRenamed("m", "raw")
     return (
         df.select("doc_id", "raw", F.date_format(parse_date(F.col("raw")), "yyyy-MM-dd").alias("parsed"))
         .groupBy("doc_id", "raw", "parsed").agg(F.count(F.lit(1)).alias("n"))
@@ -160,7 +170,7 @@ def parse_dates(spark, sf_dir):
 @query("d_parse_money", f"""WITH {O.BIZ}
 SELECT doc_id, i AS pos, v AS raw, round({O.money('v')}, 6) AS amount FROM {O._unnest(O.hits('text', C.TOTAL_PATTERN, True, 1), 'v')} u""")
 def parse_money(spark, sf_dir):
-    found = T.find_all(TEXT, C.TOTAL_PATTERN, 1, True)
+    found = T.find_all(text(), C.TOTAL_PATTERN, 1, True)
     df = T.explode_rows(business_documents(spark, sf_dir), found, "doc_id").withColumnsRenamed({"pos": "i", "m": "raw"})
     return df.select("doc_id", (F.col("i") + 1).cast("bigint").alias("pos"), "raw",
                      F.round(T.parse_money(F.col("raw")), 6).alias("amount"))

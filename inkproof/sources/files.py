@@ -5,12 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from inkproof.functions import constants as C
 from inkproof.functions import text as T
 
 
-@F.pandas_udf("struct<text string, encoding string>")
+@F.pandas_udf(StructType().add("text", StringType()).add("encoding", StringType()))
 def decode_other(content: pd.Series) -> pd.DataFrame:
     """Bytes that are not UTF-8: UTF-16 if they decode as such, else Latin-1."""
 
