@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from inkproof.plans import registry
 from inkproof.session import local_session
 
 HEADLINE = [
-    "f_word_count", "f_repeated_phrase_count", "m_detect_all_prose", "m_repeated_sentences_prose",
-    "t_doctype_counts", "r_decision", "w_decision_distribution", "w_risk_bands",
+    "f_word_count", "f_repeated_phrase_count", "m_repeated_sentences_prose",
+    "t_doctype_counts", "w_risk_bands",
     "c_token_jaccard", "c_corpus_pair_join", "ml_tfidf_vectorize", "ml_roc_auc",
     "ml_stratified_split", "l_font_variance", "st_scan_volume_window",
 ]
@@ -26,6 +27,7 @@ def main() -> None:
         start = time.perf_counter()
         entries[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")),
