@@ -13,8 +13,8 @@ from inkproof.session import local_session
 HEADLINE = [
     "f_word_count", "f_repeated_phrase_count", "m_repeated_sentences_prose",
     "t_doctype_counts", "w_risk_bands",
-    "c_token_jaccard", "c_corpus_pair_join", "ml_tfidf_vectorize", "ml_roc_auc",
-    "ml_stratified_split", "l_font_variance", "st_scan_volume_window",
+    "c_token_jaccard", "ml_tfidf_vectorize", "ml_roc_auc",
+    "ml_stratified_split", "l_font_variance", "st_scan_volume_window", "c_corpus_pair_join",
 ]
 
 
