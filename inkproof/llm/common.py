@@ -39,11 +39,31 @@ def bucket_of(key: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: Column, *keep: str) -> DataFrame:
-    """Texts with the label for the rows in the fold; labels repeated for an id count once (the largest)."""
-    known = (
-        labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
-    )
-    own = docs.select("doc_id", "text", *keep).filter(F.col("doc_id").isNotNull() & fold)
-    return own.join(known, "doc_id")
+def labelled(labels: DataFrame, label: str, fold: Column, limit: int) -> DataFrame:
+    """(doc_id, label) of about `limit` labelled rows at most, so that they can be broadcast.
+
+    Rows are taken by a hash of the id if there are more. Labels repeated for an id count once (the
+    largest); rows without an id or a label are left out.
+    """
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & fold)
+    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    rows = known.count()
+    if rows > limit:
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(limit / rows * (1 << 20)))
+    return F.broadcast(known)
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text as an array; none for null."""
+    trimmed = F.btrim(text, F.lit(BLANK_CHARACTERS))
+    return F.when(F.length(trimmed) > 0, F.split(trimmed, BLANK)).otherwise(F.array().cast("array<string>"))
+
+
+def word_count(text: Column) -> Column:
+    trimmed = F.btrim(text, F.lit(BLANK_CHARACTERS))
+    return F.when(F.length(trimmed) > 0, F.size(F.split(trimmed, BLANK))).otherwise(0).cast("long")

@@ -196,7 +196,7 @@ def link(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     roots = components(edges.unionByName(more))
     least = roots.join(classes.select("key", "rep"), "key")
     ids = least.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = roots.join(ids, "root").select("key", "component_id")
+    named = roots.join(stored(ids, "ids"), "root").select("key", "component_id")
     classes = stored(
         classes.select("key", "rep").join(named, "key", "left")
         .select(F.col("key").alias("set_key"), F.coalesce("component_id", "rep").alias("component_id")), "components")

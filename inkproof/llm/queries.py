@@ -3,14 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from inkproof.llm import mix_weights
 from inkproof.llm.common import table
+from inkproof.llm.compression_quality import quality_scores
+from inkproof.llm.decision_rules import judge
+from inkproof.llm.decontaminate import contamination_report
+from inkproof.llm.host_reputation import judge_urls
 from inkproof.llm.near_dedup import near_duplicates
+from inkproof.llm.toxicity import toxicity_scores
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_weights.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_near_dedup,)}
-SQL: dict[str, str] = {}
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of pages are the quality labels with the page's number: the tables have no others."""
+    pages = table(spark, sf_dir, "pages")
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(F.max("quality").alias("good"))
+    return judge_urls(pages, pages.select("page_id", "url").join(labels, "page_id"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("evidence")
+
+
+QUERIES = {
+    f.__name__: f for f in (
+        op2_source_mix, op3_near_dedup, op5_decontaminate, op7_compression_quality, op8_quality_rules, op9_host_reputation, op10_toxicity)
+}
+SQL: dict[str, str] = {"op2_source_mix": mix_weights.SQL}

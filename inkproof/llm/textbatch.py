@@ -63,6 +63,14 @@ class Words:
     hash: np.ndarray
     #: words[first[i]:first[i + 1]] belong to text i
     first: np.ndarray
+    sums: np.ndarray
+
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which words have more bytes than size, and the hashes of the first bytes of those."""
+        at = np.flatnonzero(self.end - self.start > size)
+        start = self.start[at]
+        h = (self.sums[start + size] - self.sums[start]) * _power(BASE_INVERSE, len(self.data) + 1)[start]
+        return at, mix(h ^ U64(size))
 
     def text(self, i: int) -> str:
         """Word i as it is in the text, lower-cased A-Z."""
@@ -85,7 +93,7 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Words:
     h = mix((sums[end] - sums[start]) * _power(BASE_INVERSE, n + 1)[start])
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Words(data, offsets, doc, start, end, h, first)
+    return Words(data, offsets, doc, start, end, h, first, sums)
 
 
 def chunks(texts: pa.Array, is_word: np.ndarray) -> Iterator[tuple[int, Words]]:
