@@ -182,32 +182,31 @@ class Page:
         return out
 
 
-def decode(page: Page, content: np.ndarray, mixed: np.ndarray) -> list[bool]:
+#: States of a node, and which may stand below which.
+MIXED, CONTENT, DROPPED = 0, 1, 2
+BELOW = {MIXED: (MIXED, CONTENT, DROPPED), CONTENT: (CONTENT, DROPPED), DROPPED: (DROPPED,)}
+
+
+def decode(page: Page, content: np.ndarray, mixed: np.ndarray, prior: np.ndarray, move: np.ndarray) -> list[bool]:
     """Most likely states of all nodes that do not contradict each other: is the node main content?
 
-    A node is mixed (below it anything goes), content (below it only content or dropped) or dropped
-    (all below it too). content: log odds of being content rather than dropped; mixed: of being mixed.
+    Below a mixed node anything goes, below content only content or dropped, below dropped only
+    dropped. content: log odds of being content rather than dropped; mixed: of being mixed; prior: log
+    share of each state; move: log probability of a state (column) below another (row).
     """
     n = len(page.tag)
     log = lambda x: -np.logaddexp(0, -x)
-    is_mixed, not_mixed = log(mixed), log(-mixed)
-    score = np.stack([is_mixed, not_mixed + log(content), not_mixed + log(-content)])
+    not_mixed = log(-mixed)
+    score = np.stack([log(mixed), not_mixed + log(content), not_mixed + log(-content)]) - prior[:, None]
     score[:, 0] = (0, -1e9, -1e9)
-    table = [list(x) for x in score.T]
+    table = score.T.tolist()
+    step = move.tolist()
     for i in range(n - 1, 0, -1):
-        m, c, d = table[i]
-        up = table[page.parent[i]]
-        up[0] += max(m, c, d)
-        up[1] += max(c, d)
-        up[2] += d
-    state = [0] * n
+        own, up = table[i], table[page.parent[i]]
+        for above, states in BELOW.items():
+            up[above] += max(step[above][s] + own[s] for s in states)
+    state = [MIXED] * n
     for i in range(1, n):
-        m, c, d = table[i]
-        above = state[page.parent[i]]
-        if above == 2 or above == 1 and d > c:
-            state[i] = 2
-        elif above == 1:
-            state[i] = 1
-        else:
-            state[i] = 0 if m >= c and m >= d else 1 if c >= d else 2
-    return [s == 1 for s in state]
+        above, own = state[page.parent[i]], table[i]
+        state[i] = max(BELOW[above], key=lambda s: step[above][s] + own[s])
+    return [s == CONTENT for s in state]

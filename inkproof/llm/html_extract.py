@@ -7,6 +7,7 @@ does not depend on the data. Pages are parsed and judged one by one in tasks; no
 from __future__ import annotations
 
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from inkproof.llm import html_samples
 from inkproof.llm.boosting import BoostedTrees
 from inkproof.llm.dom import Page, decode
 
-TRAINING_PAGES, LEAST_PAGES = 400, 3
+TRAINING_PAGES, LEAST_PAGES = 500, 3
 
 
 class Extractor:
@@ -26,6 +27,13 @@ class Extractor:
         self.vocabulary = {t: i for i, t in enumerate(sorted(t for t, n in found.items() if n >= LEAST_PAGES))}
         rows = np.concatenate([p.features(self.vocabulary)[1:] for p in pages])
         marks = np.array([m for p in pages for m in inherited(p)[1:]])
+        states = [["mcd".index(m) for m in inherited(p)] for p in pages]
+        count, moves = np.ones(3), np.ones((3, 3))
+        for p, own in zip(pages, states, strict=True):
+            for i in range(1, len(own)):
+                count[own[i]] += 1
+                moves[own[p.parent[i]], own[i]] += 1
+        self.prior, self.move = np.log(count / count.sum()), np.log(moves / moves.sum(axis=1, keepdims=True))
         self.mixed = BoostedTrees().fit(rows, (marks == "m").astype(float))
         whole = marks != "m"
         self.content = BoostedTrees().fit(rows[whole], (marks[whole] == "c").astype(float))
@@ -37,7 +45,7 @@ class Extractor:
         out, at = [], 0
         for p in pages:
             to = at + len(p.tag)
-            out.append(p.text(decode(p, content[at:to], mixed[at:to])))
+            out.append(p.text(decode(p, content[at:to], mixed[at:to], self.prior, self.move)))
             at = to
         return out
 
@@ -50,6 +58,12 @@ def inherited(page: Page) -> list[str]:
     return marks
 
 
+@cache
+def default_extractor() -> Extractor:
+    """Trained once a process."""
+    return Extractor()
+
+
 def _extract(extractor: Extractor):
     def run(batches):
         for batch in batches:
@@ -70,6 +84,6 @@ def main_texts(pages: DataFrame, extractor: Extractor | None = None) -> DataFram
     out, unless the page has no block element at all, when nothing can be told apart: then it is empty too.
     """
     kinds = dict(pages.dtypes)
-    run = _extract(extractor or Extractor())
+    run = _extract(extractor or default_extractor())
     return pages.select("page_id", "url", "html").mapInArrow(
         run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

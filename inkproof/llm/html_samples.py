@@ -69,6 +69,8 @@ class Maker:
     def article(self) -> str:
         r = self.r
         parts = [f"<h1>{self.words(2, 10)}</h1>"] if r.random() < 0.8 else []
+        if r.random() < 0.12:  # hardly anything
+            return "".join(parts) + f"<p>{self.paragraph(1, 4)}</p>"
         for _ in range(r.choice((1, 1, 2, 3, 4, 6, 9, 14, 25))):
             kind = r.random()
             if kind < 0.74:
