@@ -47,10 +47,16 @@ def explode_rows(df: DataFrame, array: Column, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode_outer(array).alias("pos", "m")).where(F.col("m").isNotNull())
 
 
-def computed_once(df: DataFrame) -> DataFrame:
-    """Stop later filters from being pushed below, and so repeating, costly projections."""
-    row = F.explode_outer(F.array(F.struct(*df.columns))).alias("row")
-    return df.select(row).select("row.*")
+def computed_once(df: DataFrame, keys: list[str] | None = None, wanted: list[str] | None = None) -> DataFrame:
+    """Stop later filters from being pushed below, and so repeating, costly projections.
+
+    ``keys`` are plain columns that stay outside: filters on them still go below.  Of the others
+    only those ``wanted`` are computed.
+    """
+    keys = [k for k in keys or [] if k in df.columns]
+    costly = [c for c in df.columns if c not in keys and (wanted is None or c in wanted)]
+    row = F.explode_outer(F.array(F.struct(*costly))).alias("row")
+    return df.select(*keys, row).select(*keys, "row.*")
 
 
 def pattern(regex: str, ignore_case: bool = False) -> Column:

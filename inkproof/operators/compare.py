@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from inkproof.functions import constants as C
 from inkproof.functions import text as T
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two strings."""
-    return pd.Series([
-        difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)
-    ])
+#: Letters, numbers and the low line; combining marks are no part of a word.
+WORD = r"[\p{L}\p{N}_]+"
 
 
 def word_set(text: Column) -> Column:
-    return F.array_distinct(T.find_all(F.lower(text), r"\w+"))
+    return F.array_distinct(T.find_all(F.lower(text), WORD))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -33,19 +25,21 @@ def jaccard(a: Column, b: Column) -> Column:
     ).otherwise(F.lit(0.0))
 
 
-def dates_of(text: Column) -> Column:
-    found = F.array_distinct(T.find_all(text, C.COMPARE_DATE_PATTERN, 0, True))
-    return F.slice(found, 1, C.COMPARE_ENTITY_LIMIT)
+def first_of(values: Column, limit: int | None) -> Column:
+    return values if limit is None else F.slice(values, 1, limit)
+
+
+def dates_of(text: Column, limit: int | None = None) -> Column:
+    return first_of(F.array_distinct(T.find_all(text, C.COMPARE_DATE_PATTERN, 0, True)), limit)
 
 
-def ids_of(text: Column) -> Column:
-    found = F.array_distinct(T.find_all(text, C.COMPARE_ID_PATTERN, 0, True))
-    return F.slice(found, 1, C.COMPARE_ENTITY_LIMIT)
+def ids_of(text: Column, limit: int | None = None) -> Column:
+    return first_of(F.array_distinct(T.find_all(text, C.COMPARE_ID_PATTERN, 0, True)), limit)
 
 
-def numbers_of(text: Column) -> Column:
+def numbers_of(text: Column, limit: int | None = None) -> Column:
     found = F.filter(T.find_all(text, C.COMPARE_NUMBER_PATTERN, 1), lambda v: F.length(v) > 1)
-    return F.slice(F.array_distinct(found), 1, C.COMPARE_ENTITY_LIMIT)
+    return first_of(F.array_distinct(found), limit)
 
 
 def names_of(text: Column) -> Column:
@@ -65,23 +59,6 @@ def pair_up(pairs: DataFrame, side: DataFrame) -> DataFrame:
     )
 
 
-def text_similarity(pairs: DataFrame) -> DataFrame:
-    """Add jaccard, sequence ratio and their blend in percent (needs a_text, b_text).
-
-    The sequence ratio is defined on the first 3000 characters of each text.
-    """
-    def head(c: str) -> Column:
-        return F.lower(F.left(c, F.lit(C.SEQUENCE_PREFIX)))
-
-    measured = pairs.withColumns({
-        "jaccard": jaccard(word_set(F.col("a_text")), word_set(F.col("b_text"))),
-        "sequence": sequence_ratio(head("a_text"), head("b_text")),
-    })
-    blend = F.round((F.col("jaccard") * 0.4 + F.col("sequence") * 0.6) * 100, 1)
-    usable = (F.size(word_set(F.col("a_text"))) > 0) & (F.size(word_set(F.col("b_text"))) > 0)
-    return measured.withColumn("similarity", F.when(usable, blend).otherwise(F.lit(0.0)))
-
-
 def differences(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Discrepancies in first date, decision, origin and length, as sentences."""
     def both(key: str) -> Column:
@@ -100,33 +77,71 @@ def differences(a: dict[str, Column], b: dict[str, Column]) -> Column:
     ))
 
 
+def field_rows(pairs: DataFrame, a: dict[str, Column], b: dict[str, Column]) -> DataFrame:
+    """Eight rows a pair: attribute, value_a, value_b, matches."""
+    def text(c: Column) -> Column:
+        return c.cast("string")
+
+    def known(instead: str):
+        return lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit(instead))
+
+    def both(key: str) -> Column:
+        return (F.length(a[key]) > 0) & (F.length(b[key]) > 0)
+
+    rows = [
+        ("Document Type", "document_type", text, a["document_type"] == b["document_type"]),
+        ("Risk Score", "risk_score", lambda c: F.format_string("%.2f", c), F.abs(a["risk_score"] - b["risk_score"]) < 5),
+        ("Decision", "decision", text, a["decision"] == b["decision"]),
+        ("Page Count", "pages", text, a["pages"] == b["pages"]),
+        ("Word Count", "words", text, F.abs(a["words"] - b["words"]) < 20),
+        ("Detected Tables", "tables", text, a["tables"] == b["tables"]),
+        ("Primary Reference Date", "date", known("None"), both("date") & (a["date"] == b["date"])),
+        ("Metadata Author", "origin", known("Not specified"), ~(both("origin") & (F.lower(a["origin"]) != F.lower(b["origin"])))),
+    ]
+    fields = F.array(*[
+        F.struct(F.lit(name).alias("attribute"), show(a[k]).alias("value_a"), show(b[k]).alias("value_b"), same.alias("matches"))
+        for name, k, show, same in rows])
+    return pairs.select("doc_a", "doc_b", F.explode(fields).alias("f")).select("doc_a", "doc_b", "f.*")
+
+
 def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """All pairs of distinct word sets with Jaccard similarity of at least ``threshold``.
 
     Exact.  Documents with the same word set become one entry with its number of copies, so
-    a large group of copies costs one row, not its square.  Two sets can only reach the
-    threshold if they share one of their rarest words (prefix filter), so only those words
-    are joined; sizes are compared in the join as well.
+    a large group of copies costs one row, not its square; entries are known by a 128-bit hash.
+    Two sets can only reach the threshold if they share one of their rarest words (prefix
+    filter), and only if what each has left from the first shared word on reaches the overlap
+    that their sizes ask for (positional filter).  Word counts are joined back under another
+    key, so that the optimizer can split a word that every document has.
     """
     sets = docs.select("doc_id", F.array_sort(word_set(F.col("text"))).alias("words")).where(F.size("words") > 0)
-    entries = sets.groupBy("words").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    entries = sets.withColumn("key", F.md5(F.array_join("words", " "))).groupBy("key").agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("words").alias("words"))
     words = entries.select("rep", F.size("words").alias("n"), F.explode("words").alias("word"))
-    frequency = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    frequency = words.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    frequency = frequency.select(F.xxhash64("word").alias("at"), F.col("word").alias("known"), "df")
     # rarest words first; the sort key is the whole set of one entry, never of many documents
     ranked = (
-        words.join(frequency, "word").where(F.col("df") > 1)
+        words.join(frequency, (F.xxhash64("word") == F.col("at")) & (F.col("word") == F.col("known")))
         .groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("r"))
     )
     # unique words sort before all others and can never match: they only use up prefix places
     keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1
     unique = F.col("n") - F.size("r")
-    prefix = ranked.select("rep", "n", F.explode(F.slice("r", 1, F.greatest(keep - unique, F.lit(0)).cast("int"))).alias("p")).select(
-        "rep", "n", F.col("p.word").alias("word"))
-    a = prefix.select("word", F.col("rep").alias("rep_a"), F.col("n").alias("n_a"))
-    b = prefix.select("word", F.col("rep").alias("rep_b"), F.col("n").alias("n_b"))
+    prefix = ranked.select(
+        "rep", "n", F.size("r").alias("shared"),
+        F.posexplode(F.slice("r", 1, F.greatest(keep - unique, F.lit(0)).cast("int"))).alias("at", "p"),
+    ).select("rep", "n", F.col("p.word").alias("word"), (F.col("shared") - F.col("at")).alias("left"))
+
+    def half(s: str) -> DataFrame:
+        return prefix.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "left")])
+
     sized = (F.col("n_b") >= F.col("n_a") * threshold - 1e-9) & (F.col("n_a") >= F.col("n_b") * threshold - 1e-9)
-    candidates = a.join(b, "word").where((F.col("rep_a") < F.col("rep_b")) & sized).select("rep_a", "rep_b").distinct()
+    reach = F.least("left_a", "left_b") >= (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-6
+    candidates = (
+        half("a").join(half("b"), "word").where((F.col("rep_a") < F.col("rep_b")) & sized & reach)
+        .select("rep_a", "rep_b").distinct()
+    )
 
     def side(s: str) -> DataFrame:
         return entries.select(F.col("rep").alias(f"rep_{s}"), F.col("words").alias(f"words_{s}"),

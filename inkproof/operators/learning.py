@@ -15,12 +15,25 @@ def clean_text(text: Column) -> Column:
     return F.coalesce(T.collapse(kept), F.lit(""))
 
 
-def normalise_label(label: Column) -> Column:
-    """Textual and numeric labels to 0 (genuine) or 1 (fake), NULL for anything else."""
+def normalise_label(label: Column, numeric: bool = False) -> Column:
+    """Textual labels to 0 (genuine) or 1 (fake), numbers to their whole part; NULL for anything else.
+
+    ``numeric``: the column has a number type.  ``rejected_labels`` counts what becomes NULL.
+    """
+    if numeric:
+        whole = label.cast("double").cast("int")
+        return F.when(whole.isin(0, 1), whole)
     values = F.create_map(*[F.lit(x) for pair in C.LABEL_VALUES.items() for x in pair])
     return F.try_element_at(values, F.lower(T.strip(label.cast("string"))))
 
 
+def rejected_labels(rows: DataFrame, label: str = "label") -> DataFrame:
+    """Labels that are neither class, with their counts."""
+    numeric = dict(rows.dtypes)[label] != "string"
+    known = normalise_label(F.col(label), numeric)
+    return rows.where(F.col(label).isNotNull() & known.isNull()).groupBy(F.col(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def class_balance(rows: DataFrame, label: str = "label") -> DataFrame:
     total = F.count(F.lit(1))
     train = F.floor(total * 8 / 10).cast("bigint")
@@ -73,17 +86,21 @@ def term_counts(docs: DataFrame, stop_words: list[str]) -> DataFrame:
         "doc_id", F.col("m.value").alias("term"), F.col("m.n").alias("tf"))
 
 
-def tfidf(docs: DataFrame, stop_words: list[str], max_features: int = 5000, max_df: float = 0.95) -> DataFrame:
-    """Sublinear tf, smoothed idf, unit length; vocabulary capped to the most used terms."""
+def tfidf(docs: DataFrame, stop_words: list[str], max_features: int | None = None, max_df: float = 0.95) -> DataFrame:
+    """Sublinear tf, smoothed idf, unit length.
+
+    The vocabulary is joined, so it may grow with the corpus; ``max_features`` keeps the most
+    used terms only, if the caller wants that.
+    """
     counts = term_counts(docs, stop_words)
-    total = docs.agg(F.count(F.lit(1)).alias("docs"))
-    vocabulary = (
+    total = docs.count()
+    used = (
         counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("uses"))
-        .join(F.broadcast(total)).where(F.col("df") <= F.col("docs") * max_df)
-        .orderBy(F.col("uses").desc(), "term").limit(max_features)
-        .select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf")))
-    # at most max_features rows, so it can always be sent to every task
-    weighted = counts.join(F.broadcast(vocabulary), "term").select(
+        .where(F.col("df") <= total * max_df))
+    if max_features is not None:
+        used = used.orderBy(F.col("uses").desc(), "term").limit(max_features)
+    vocabulary = used.select("term", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighted = counts.join(vocabulary, "term").select(
         "doc_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))
     return weighted.select("doc_id", "term", (F.col("raw") / norm).alias("weight"))
@@ -106,20 +123,30 @@ def metrics(predictions: DataFrame) -> DataFrame:
         ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
 
 
-def score_steps(predictions: DataFrame) -> DataFrame:
-    """Running true and false positives per distinct score.
+def score_steps(predictions: DataFrame, buckets: int = 1000) -> DataFrame:
+    """Running true and false positives per distinct score, and the counts of the next lower score.
 
-    Scores carry six digits, so a model has at most a million distinct ones however many
-    predictions it made; only those rows are ordered.
+    A model's scores are never ordered in one task: counts are summed per bucket of scores, the
+    at most ``buckets`` + 1 sums of a model run on, and only the scores of a bucket are ordered.
     """
     per_score = predictions.groupBy("model_name", "score").agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    down = Window.partitionBy("model_name").orderBy(F.col("score").desc())
-    model = Window.partitionBy("model_name")
-    return per_score.select(
-        "model_name", "score", "pos", "neg",
-        F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"),
-        F.sum("pos").over(model).alias("p"), F.sum("neg").over(model).alias("n"))
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"),
+    ).withColumn("bucket", F.floor(F.col("score") * buckets))
+    sums = per_score.groupBy("model_name", "bucket").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max(F.struct("score", "pos", "neg")).alias("first"))
+    down = Window.partitionBy("model_name").orderBy(F.col("bucket").desc())
+    before, model = down.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("model_name")
+    edges = sums.select(
+        "model_name", "bucket",
+        F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("fp0"),
+        F.sum("pos").over(model).alias("p"), F.sum("neg").over(model).alias("n"), F.lead("first").over(down).alias("below"))
+    inside = Window.partitionBy("model_name", "bucket").orderBy(F.col("score").desc())
+    rows = per_score.select(
+        "model_name", "bucket", "score", "pos", "neg", F.sum("pos").over(inside).alias("tp1"), F.sum("neg").over(inside).alias("fp1"),
+        F.lead("pos").over(inside).alias("next_pos"), F.lead("neg").over(inside).alias("next_neg"))
+    return rows.join(edges, ["model_name", "bucket"]).select(
+        "model_name", "score", "pos", "neg", (F.col("tp0") + F.col("tp1")).alias("tp"), (F.col("fp0") + F.col("fp1")).alias("fp"), "p", "n",
+        F.coalesce("next_pos", "below.pos").alias("next_pos"), F.coalesce("next_neg", "below.neg").alias("next_neg"))
 
 
 def roc_auc(predictions: DataFrame) -> DataFrame:
@@ -132,10 +159,19 @@ def roc_auc(predictions: DataFrame) -> DataFrame:
 
 
 def roc_curve(predictions: DataFrame) -> DataFrame:
-    return score_steps(predictions).select(
+    """Corner points of the curve per model, from (0, 0) with a NULL threshold on; none for one class only.
+
+    A point between two equal steps lies on their line and is left out; the first and last stay.
+    """
+    s = score_steps(predictions).where((F.col("p") > 0) & (F.col("n") > 0))
+    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    last = F.col("next_pos").isNull()
+    turns = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+    corners = s.where(first | last | turns).select(
         "model_name", F.col("score").alias("threshold"),
-        (F.col("fp") / F.nullif(F.col("n"), F.lit(0))).alias("fpr"),
-        (F.col("tp") / F.nullif(F.col("p"), F.lit(0))).alias("tpr"))
+        (F.col("fp") / F.col("n")).alias("fpr"), (F.col("tp") / F.col("p")).alias("tpr"))
+    starts = s.where(first).select("model_name", F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return starts.unionByName(corners)
 
 
 def confusion_matrix(predictions: DataFrame) -> DataFrame:
@@ -146,16 +182,20 @@ def confusion_matrix(predictions: DataFrame) -> DataFrame:
 
 def comparison(metric_rows: DataFrame) -> DataFrame:
     """Metric by model, long form."""
-    return metric_rows.unpivot("model_name", ["accuracy", "precision", "recall", "f1"], "metric", "value")
+    return metric_rows.unpivot("model_name", C.METRIC_NAMES, "metric", "value")
 
 
 def train_models(train: DataFrame, trees: int = 300, rounds: int = 300) -> dict:
-    """Fit the three classifiers on (features, label), classes weighted to balance."""
+    """Fit the three classifiers on (features, label of 0 or 1), classes weighted to balance.
+
+    The forest grows to the 30 levels that the implementation allows at most.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import StandardScaler
 
-    sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+    counted = train.agg(*[F.count_if(F.col("label") == y).alias(str(y)) for y in (0, 1)]).first()
+    sizes = {y: counted[str(y)] for y in (0, 1) if counted[str(y)]}
     total = sum(sizes.values())
     if not total:
         raise ValueError("training needs at least one row")
@@ -169,7 +209,7 @@ def train_models(train: DataFrame, trees: int = 300, rounds: int = 300) -> dict:
         "logistic_regression": LogisticRegression(
             **common, maxIter=2000, regParam=1 / (0.5 * total), standardization=False),
         "random_forest": RandomForestClassifier(
-            **common, numTrees=trees, featureSubsetStrategy="sqrt", minInstancesPerNode=2, maxDepth=10, seed=42),
+            **common, numTrees=trees, featureSubsetStrategy="sqrt", minInstancesPerNode=2, maxDepth=30, seed=42),
         "xgboost": GBTClassifier(
             featuresCol="scaled", labelCol="label", maxIter=rounds, stepSize=0.05, maxDepth=6,
             subsamplingRate=0.8, featureSubsetStrategy="sqrt", minInstancesPerNode=2, seed=42),

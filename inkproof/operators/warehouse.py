@@ -33,23 +33,14 @@ def history_page(rows: DataFrame, skip: int = 0, limit: int = 20) -> DataFrame:
     return newest_first(rows).offset(skip).limit(limit)
 
 
-def marker_counts(analyses: DataFrame, markers: DataFrame) -> DataFrame:
-    """``marker_count`` per analysis, zero where it has none."""
-    counts = markers.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("marker_count"))
-    return analyses.join(counts, "analysis_id", "left").fillna(0, ["marker_count"])
-
-
-def dashboard_totals(documents: DataFrame, analyses: DataFrame, markers: DataFrame) -> DataFrame:
-    """One row of totals; three one-row aggregates are put side by side."""
-    d = documents.agg(F.count(F.lit(1)).alias("total_documents"))
-    a = analyses.agg(
-        F.count(F.lit(1)).alias("total_analyses"),
-        F.round(F.coalesce(F.avg(F.col("risk_score").cast("decimal(9,2)")).cast("double"), F.lit(0.0)), 2)
-        .alias("average_risk_score"),
-    )
-    m = markers.agg(F.count(F.lit(1)).alias("total_markers"))
-    one = F.lit(1).alias("one")
-    return d.select("*", one).join(a.select("*", one), "one").join(m.select("*", one), "one").drop("one")
+def totals(rows: DataFrame) -> DataFrame:
+    """One row of totals over documents and analyses (is_document, risk_score, markers)."""
+    analysis = ~F.col("is_document")
+    mean = F.avg(F.when(analysis, F.col("risk_score").cast("decimal(9,2)"))).cast("double")
+    return rows.agg(
+        F.count_if("is_document").alias("total_documents"), F.count_if(analysis).alias("total_analyses"),
+        F.round(F.coalesce(mean, F.lit(0.0)), 2).alias("average_risk_score"),
+        F.coalesce(F.sum("markers"), F.lit(0)).alias("total_markers"))
 
 
 def distribution(rows: DataFrame, column: str) -> DataFrame:

@@ -12,7 +12,6 @@ from inkproof.operators.markers import detect_markers
 from inkproof.operators.risk import fold_back
 from inkproof.plans import oracle as O
 from inkproof.plans.registry import query, register
-from inkproof.session import spread
 from inkproof.sources.business import AS_OF, business_documents
 from inkproof.sources.tables import prose_documents, table
 
@@ -72,7 +71,7 @@ BUSINESS_SQL = {
 def _register_all() -> None:
     for name, sql in TEXT_SQL.items():
         def prose(spark, sf_dir, name=name):
-            df = X.extract_features(spread(prose_documents(spark, sf_dir), "doc_id"))
+            df = X.extract_features(prose_documents(spark, sf_dir))
             return df.select("doc_id", F.round(name, 6).alias(name))
 
         register(f"f_{name}", prose,
@@ -97,7 +96,7 @@ SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM (
 SELECT doc_id, regexp_extract_all(lower(text), '[^{O.WS}]+') AS w FROM documents) a) b) c
 GROUP BY 1, 2 HAVING count(*) > 1) e GROUP BY 1) f ON f.doc_id = d.doc_id""")
 def repeated_phrase_count(spark, sf_dir):
-    df = spread(prose_documents(spark, sf_dir), "doc_id")
+    df = prose_documents(spark, sf_dir)
     return df.select("doc_id", X.repeated_phrase_count(F.col("text")).alias("repeated_phrase_count"))
 
 
@@ -145,7 +144,7 @@ def entity_extract(spark, sf_dir):
 SELECT doc_id, len(t) AS tokens, coalesce(t[1], '') AS first_token
 FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^{O.WS}]+') AS t FROM documents) a""")
 def clean_tokens(spark, sf_dir):
-    df = spread(prose_documents(spark, sf_dir), "doc_id")
+    df = prose_documents(spark, sf_dir)
     return df.select("doc_id", T.tokens(F.lower("text")).alias("t")).select(
         "doc_id", F.size("t").cast("bigint").alias("tokens"),
         F.coalesce(F.get("t", F.lit(0)), F.lit("")).alias("first_token"))

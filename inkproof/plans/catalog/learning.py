@@ -9,7 +9,6 @@ from inkproof.operators.features import extract_features, feature_vector
 from inkproof.operators.warehouse import metrics_upsert
 from inkproof.plans import oracle as O
 from inkproof.plans.registry import query
-from inkproof.session import spread
 from inkproof.sources.business import business_documents
 from inkproof.sources.tables import table
 
@@ -19,7 +18,7 @@ CLEAN = f"trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9{O.WS}]+', '
 
 @query("ml_clean_text", f"SELECT doc_id, md5({CLEAN}) AS cleaned FROM documents")
 def clean_text(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", F.md5(L.clean_text(F.col("text"))).alias("cleaned"))
 
 
@@ -48,11 +47,11 @@ _STOPS = ", ".join(O.q(w) for w in STOP)
 g AS (SELECT doc_id, unnest(w) AS term FROM t UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM t) x),
 c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2),
 v AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf, sum(tf) AS uses FROM c GROUP BY 1
-HAVING count(*) <= 0.95 * (SELECT count(*) FROM documents) ORDER BY uses DESC, term LIMIT 5000),
+HAVING count(*) <= 0.95 * (SELECT count(*) FROM documents)),
 r AS (SELECT doc_id, c.term, (1 + ln(tf)) * idf AS raw FROM c JOIN v ON v.term = c.term)
 SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 5) AS weight FROM r""")
 def tfidf_vectorize(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return L.tfidf(docs, STOP).withColumn("weight", F.round("weight", 5))
 
 
@@ -93,22 +92,31 @@ def model_leaderboard(spark, sf_dir):
     return _rounded(L.metrics(scored_labels(spark, sf_dir))).orderBy("model_name")
 
 
-@query("ml_metrics_comparison", f"WITH {PRED}, m AS ({_M}) " + " UNION ALL ".join(
-    f"SELECT model_name, '{c}' AS metric, {c} AS value FROM m" for c in _COLS))
+_AUC = """SELECT a.model_name, round(avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END), 6) AS roc_auc
+FROM pr a JOIN pr b ON a.model_name = b.model_name AND a.label = 1 AND b.label = 0 GROUP BY 1"""
+
+
+def all_metrics(spark, sf_dir):
+    scored = scored_labels(spark, sf_dir)
+    return _rounded(L.metrics(scored)).join(L.roc_auc(scored).withColumn("roc_auc", F.round("roc_auc", 6)), "model_name")
+
+
+@query("ml_metrics_comparison", f"WITH {PRED}, m AS (SELECT * FROM ({_M}) a JOIN ({_AUC}) b USING (model_name)) " + " UNION ALL ".join(
+    f"SELECT model_name, '{c}' AS metric, {c} AS value FROM m" for c in [*_COLS, "roc_auc"]))
 def metrics_comparison(spark, sf_dir):
-    return L.comparison(_rounded(L.metrics(scored_labels(spark, sf_dir))))
+    return L.comparison(all_metrics(spark, sf_dir))
 
 
-@query("ml_roc_auc", f"""WITH {PRED} SELECT a.model_name, round(avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END), 6) AS roc_auc
-FROM pr a JOIN pr b ON a.model_name = b.model_name AND a.label = 1 AND b.label = 0 GROUP BY 1""")
+@query("ml_roc_auc", f"WITH {PRED} {_AUC}")
 def roc_auc(spark, sf_dir):
     return L.roc_auc(scored_labels(spark, sf_dir)).withColumn("roc_auc", F.round("roc_auc", 6))
 
 
-@query("ml_roc_curve", f"""WITH {PRED}, s AS (SELECT DISTINCT model_name, score FROM pr)
-SELECT s.model_name, s.score AS threshold, round(count(*) FILTER (label = 0 AND pr.score >= s.score) / CAST(count(*) FILTER (label = 0) AS DOUBLE), 6) AS fpr,
-round(count(*) FILTER (label = 1 AND pr.score >= s.score) / CAST(count(*) FILTER (label = 1) AS DOUBLE), 6) AS tpr
-FROM s JOIN pr ON pr.model_name = s.model_name GROUP BY 1, 2""")
+@query("ml_roc_curve", f"""WITH {PRED}, c AS (SELECT model_name, score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM pr GROUP BY 1, 2),
+r AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER m AS p, sum(neg) OVER m AS n, lead(pos) OVER w AS np, lead(neg) OVER w AS nn, row_number() OVER w AS i
+FROM c WINDOW w AS (PARTITION BY model_name ORDER BY score DESC), m AS (PARTITION BY model_name))
+SELECT model_name, score AS threshold, round(fp / CAST(n AS DOUBLE), 6) AS fpr, round(tp / CAST(p AS DOUBLE), 6) AS tpr FROM r
+WHERE p > 0 AND n > 0 AND (i = 1 OR np IS NULL OR np <> pos OR nn <> neg) UNION ALL SELECT model_name, NULL, 0, 0 FROM r WHERE i = 1 AND p > 0 AND n > 0""")
 def roc_curve(spark, sf_dir):
     return L.roc_curve(scored_labels(spark, sf_dir)).withColumns({"fpr": F.round("fpr", 6), "tpr": F.round("tpr", 6)})
 
@@ -118,12 +126,20 @@ def confusion_matrix(spark, sf_dir):
     return L.confusion_matrix(scored_labels(spark, sf_dir))
 
 
-@query("snk_metrics_upsert", f"WITH {PRED}, m AS ({_M}) SELECT model_name, CASE WHEN model_name = 'random_forest' THEN accuracy ELSE 1 - accuracy END AS accuracy FROM m")
+@query("snk_metrics_upsert", f"WITH {PRED}, m AS ({_M}) SELECT model_name, " + ", ".join(
+    f"round(CASE WHEN model_name = 'random_forest' THEN {c} ELSE 1 - {c} END, 6) AS {c}" for c in _COLS) + ", CASE WHEN model_name = 'random_forest' THEN 1 ELSE 2 END AS run_ts FROM m")
 def upsert(spark, sf_dir):
     """A later run replaces two of the three models."""
-    base = _rounded(L.metrics(scored_labels(spark, sf_dir))).select("model_name", "accuracy").withColumn("run_ts", F.lit(1))
-    later = base.where(F.col("model_name") != "random_forest").withColumns({"accuracy": 1 - F.col("accuracy"), "run_ts": F.lit(2)})
-    return metrics_upsert(base, later).select("model_name", "accuracy")
+    base = _rounded(L.metrics(scored_labels(spark, sf_dir))).withColumn("run_ts", F.lit(1))
+    later = base.where(F.col("model_name") != "random_forest").withColumns({**{c: F.round(1 - F.col(c), 6) for c in _COLS}, "run_ts": F.lit(2)})
+    return metrics_upsert(base, later)
+
+
+@query("ml_label_numbers", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE toxic END AS label FROM labels")
+def label_numbers(spark, sf_dir):
+    """Labels stored as doubles; every fifth is neither class."""
+    raw = F.when(F.col("doc_id") % 5 == 0, F.lit(7.0)).otherwise(F.col("toxic").cast("double"))
+    return table(spark, sf_dir, "labels").select("doc_id", L.normalise_label(raw, numeric=True).alias("label"))
 
 
 @query("ml_train_and_predict")

@@ -14,7 +14,6 @@ from inkproof.operators.markers import ids, metadata, numerical, structural, tex
 from inkproof.operators.markers import dates as date_rules
 from inkproof.plans import oracle as O
 from inkproof.plans.registry import query, register
-from inkproof.session import spread
 from inkproof.sources.business import AS_OF, business_documents
 from inkproof.sources.tables import prose_documents
 
@@ -94,7 +93,7 @@ _register_rules()
        f"SELECT doc_id, k AS repeated, mx AS most FROM {O.sentence_groups('documents')}")
 def repeated_sentences_prose(spark, sf_dir):
     """Repeated sentences over the prose corpus, whose documents run to 20 000 words."""
-    df = spread(prose_documents(spark, sf_dir), "doc_id")
+    df = prose_documents(spark, sf_dir)
     counts = df.select("doc_id", textual.repeated_sentence_counts(text()).alias("c"))
     return counts.where(F.size("c") > 0).select(
         "doc_id",
@@ -105,7 +104,7 @@ def repeated_sentences_prose(spark, sf_dir):
 
 @query("m_amount_mismatches_prose", f"SELECT doc_id, n AS mismatches FROM ({O.mismatch_counts('documents')}) t WHERE n > 0")
 def amount_mismatches_prose(spark, sf_dir):
-    df = spread(prose_documents(spark, sf_dir), "doc_id")
+    df = prose_documents(spark, sf_dir)
     pairs = df.select("doc_id", numerical.amount_pairs(text()).alias("p"))
     return pairs.where(F.size("p") > 0).select("doc_id", F.size("p").cast("bigint").alias("mismatches"))
 
@@ -114,7 +113,7 @@ def amount_mismatches_prose(spark, sf_dir):
 SELECT doc_id, len(list_filter(l, lambda x: regexp_matches(x, '\\p{{Lu}}') AND NOT regexp_matches(x, '[\\p{{Ll}}\\p{{Lt}}\\x{{aa}}\\x{{ba}}]'))) AS caps, len(l) AS total
 FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 3) AS l FROM documents) a""")
 def capital_lines_prose(spark, sf_dir):
-    df = spread(prose_documents(spark, sf_dir), "doc_id")
+    df = prose_documents(spark, sf_dir)
     return df.select("doc_id", textual.capital_line_counts(text()).alias("c")).select(
         "doc_id", F.col("c.caps").cast("bigint").alias("caps"), F.col("c.total").cast("bigint").alias("total"))
 
@@ -132,7 +131,7 @@ def detect_all(spark, sf_dir):
 @query("m_detect_all_prose")
 def detect_all_prose(spark, sf_dir):
     """All rules over the prose corpus, evidence included."""
-    df = M.detect_markers(spread(prose_documents(spark, sf_dir), "doc_id"), AS_OF)
+    df = M.detect_markers(prose_documents(spark, sf_dir), AS_OF)
     return M.marker_rows(df, "doc_id")
 
 

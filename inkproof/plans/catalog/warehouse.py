@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkproof.functions.text import explode_rows
@@ -33,23 +33,37 @@ def documents(spark, sf_dir) -> DataFrame:
     )
 
 
-def analyses(spark, sf_dir) -> DataFrame:
-    """One analysis per document, a second a day later for every tenth; markers stay inside."""
-    scored = assess(business_documents(spark, sf_dir), AS_OF)
-    runs = F.when(F.col("doc_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    kept = scored.select("doc_id", "filename", "file_type", "uploaded_at", "markers", *RISK)
-    return kept.withColumn("run", F.explode(runs)).select(
+def runs(docs: DataFrame, *columns: str) -> DataFrame:
+    """One analysis per document, a second a day later for every tenth."""
+    times = F.when(F.col("doc_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return docs.withColumn("run", F.explode(times)).select(
         (F.col("doc_id") * 2 + F.col("run")).alias("analysis_id"),
         F.col("doc_id").alias("document_id"),
         (F.col("uploaded_at") + F.make_dt_interval(F.col("run"), F.lit(0), F.lit(5))).alias("created_at"),
-        F.col("filename").alias("original_filename"), "file_type", "markers", *RISK,
+        F.col("filename").alias("original_filename"), "file_type", *columns,
     )
 
 
+def analyses(spark, sf_dir, *wanted: str, where: Column | None = None) -> DataFrame:
+    """The analyses with their markers inside, or with the wanted computed columns only.
+
+    Without any wanted column nothing is scored.  ``where`` filters documents before they are scored.
+    """
+    docs = business_documents(spark, sf_dir)
+    if where is not None:
+        docs = docs.where(where)
+    wanted = wanted or ("markers", *RISK)
+    return runs(assess(docs, AS_OF, wanted=list(wanted)), *wanted)
+
+
+def unscored(spark, sf_dir) -> DataFrame:
+    return runs(business_documents(spark, sf_dir))
+
+
 def marker_table(spark, sf_dir) -> DataFrame:
-    rows = explode_rows(analyses(spark, sf_dir), F.col("markers"), "analysis_id")
+    rows = explode_rows(analyses(spark, sf_dir, "markers"), F.col("markers"), "analysis_id")
     return rows.select(
-        "analysis_id", "pos", "m.category", F.left("m.name", F.lit(120)).alias("name"), "m.severity",
+        "analysis_id", "pos", "m.category", "m.name", "m.severity",
         F.round(F.col("m.score") * 100, 2).alias("score"))
 
 
@@ -67,46 +81,51 @@ def _stamped(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.expr(STAMP).alias("created_at") if c == "created_at" else c for c in columns])
 
 
-def _slim(spark, sf_dir) -> DataFrame:
-    return analyses(spark, sf_dir).drop("markers", "original_filename", "file_type")
+def _slim(spark, sf_dir, *wanted: str) -> DataFrame:
+    return analyses(spark, sf_dir, *(wanted or RISK)).drop("original_filename", "file_type")
 
 
 @query("w_analyses_documents_join", f"{CTES} SELECT analysis_id, document_id, original_filename, file_type, risk_score FROM an")
 def analyses_documents_join(spark, sf_dir):
-    joined = W.history(_slim(spark, sf_dir), documents(spark, sf_dir))
+    joined = W.history(_slim(spark, sf_dir, "risk_score"), documents(spark, sf_dir))
     return joined.select("analysis_id", "document_id", "original_filename", "file_type", "risk_score")
 
 
 @query("w_history_filter", f"{CTES} SELECT analysis_id, original_filename, decision FROM an WHERE decision = 'forged' AND (original_filename ILIKE '%INV%' OR file_type ILIKE '%INV%')")
 def history_filter(spark, sf_dir):
-    rows = W.history_filter(analyses(spark, sf_dir), "Forged", " INV ")
+    rows = W.history_filter(analyses(spark, sf_dir, "decision"), "Forged", " INV ")
     return rows.select("analysis_id", "original_filename", "decision")
 
 
 @query("w_history_total", f"{CTES} SELECT count(*) AS total FROM an WHERE original_filename ILIKE '%pdf%' OR file_type ILIKE '%pdf%'")
 def history_total(spark, sf_dir):
-    return W.history_filter(analyses(spark, sf_dir), search="pdf").agg(F.count(F.lit(1)).alias("total"))
+    return W.history_filter(unscored(spark, sf_dir), search="pdf").agg(F.count(F.lit(1)).alias("total"))
 
 
 @query("w_history_page", f"{CTES} SELECT analysis_id, {TS} AS created_at, decision FROM (SELECT * FROM an ORDER BY an.created_at DESC, analysis_id DESC LIMIT 20 OFFSET 40) an")
 def history_page(spark, sf_dir):
-    return _stamped(W.history_page(_slim(spark, sf_dir), 40, 20), "analysis_id", "created_at", "decision")
+    return _stamped(W.history_page(_slim(spark, sf_dir, "decision"), 40, 20), "analysis_id", "created_at", "decision")
 
 
 @query("w_history_item", f"{CTES} SELECT analysis_id, n_markers AS marker_count FROM an")
 def history_item(spark, sf_dir):
-    return W.marker_counts(_slim(spark, sf_dir), marker_table(spark, sf_dir)).select("analysis_id", "marker_count")
+    return analyses(spark, sf_dir, "markers").select("analysis_id", F.size("markers").cast("bigint").alias("marker_count"))
 
 
 @query("w_dashboard_totals", f"{CTES} SELECT (SELECT count(*) FROM biz) AS total_documents, (SELECT count(*) FROM an) AS total_analyses, "
        f"(SELECT {O.half_up('sum(CAST(risk_score AS DECIMAL(9,2))) / count(*)')} FROM an) AS average_risk_score, (SELECT count(*) FROM mt) AS total_markers")
 def dashboard_totals(spark, sf_dir):
-    return W.dashboard_totals(documents(spark, sf_dir), _slim(spark, sf_dir), marker_table(spark, sf_dir))
+    """Documents are scored once for both counts; one aggregate over a union of narrow rows."""
+    scored = analyses(spark, sf_dir, "markers", "risk_score").select(
+        F.lit(False).alias("is_document"), "risk_score", F.size("markers").alias("markers"))
+    docs = business_documents(spark, sf_dir).select(
+        F.lit(True).alias("is_document"), F.lit(None).cast("double").alias("risk_score"), F.lit(0).alias("markers"))
+    return W.totals(docs.unionByName(scored))
 
 
 @query("w_decision_distribution", f"{CTES} SELECT decision, count(*) AS n FROM an GROUP BY 1")
 def decision_distribution(spark, sf_dir):
-    return W.distribution(_slim(spark, sf_dir), "decision")
+    return W.distribution(_slim(spark, sf_dir, "decision"), "decision")
 
 
 @query("w_doctype_distribution", f"WITH {TYPE_CTES} SELECT document_type, count(*) AS n FROM typed GROUP BY 1")
@@ -124,42 +143,43 @@ def severity_distribution(spark, sf_dir):
     f"SELECT '{label}' AS label, count(*) FILTER ({cond}) AS n, {O.half_up(f'count(*) FILTER ({cond}) / CAST(max(total) AS DOUBLE) * 100', 1)} AS percentage FROM an, t"
     for label, cond in (("Low risk", "risk_score < 30"), ("Medium risk", "risk_score >= 30 AND risk_score < 60"), ("High risk", "risk_score >= 60"))))
 def risk_bands(spark, sf_dir):
-    return W.risk_bands(_slim(spark, sf_dir))
+    return W.risk_bands(_slim(spark, sf_dir, "risk_score"))
 
 
 @query("w_recent_analyses", f"{CTES} SELECT analysis_id, {TS} AS created_at, risk_score FROM (SELECT * FROM an ORDER BY an.created_at DESC, analysis_id DESC LIMIT 5) an")
 def recent_analyses(spark, sf_dir):
-    return _stamped(W.history_page(_slim(spark, sf_dir), 0, 5), "analysis_id", "created_at", "risk_score")
+    return _stamped(W.history_page(_slim(spark, sf_dir, "risk_score"), 0, 5), "analysis_id", "created_at", "risk_score")
 
 
 @query("w_activity_last_7_days", f"{CTES} SELECT (SELECT count(*) FROM biz WHERE uploaded_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY) AS files_this_week, "
        f"(SELECT count(*) FROM an WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY) AS analyses_this_week")
 def activity_last_7_days(spark, sf_dir):
+    """Nothing is scored; one aggregate over a union of two times."""
     now = F.lit(AS_OF).cast("timestamp")
-    files = W.since(documents(spark, sf_dir), "uploaded_at", now).agg(F.count(F.lit(1)).alias("files_this_week"))
-    runs = W.since(_slim(spark, sf_dir), "created_at", now).agg(F.count(F.lit(1)).alias("analyses_this_week"))
-    one = F.lit(1).alias("one")
-    return files.select("*", one).join(runs.select("*", one), "one").drop("one")
+    files = W.since(business_documents(spark, sf_dir), "uploaded_at", now).select(F.lit(True).alias("is_file"))
+    recent = W.since(unscored(spark, sf_dir), "created_at", now).select(F.lit(False).alias("is_file"))
+    return files.unionByName(recent).agg(
+        F.count_if("is_file").alias("files_this_week"), F.count_if(~F.col("is_file")).alias("analyses_this_week"))
 
 
 @query("w_delete_analysis_cascade", f"{CTES} SELECT name, count(*) AS n FROM mt WHERE analysis_id NOT IN (SELECT analysis_id FROM an WHERE decision = 'forged') GROUP BY 1")
 def delete_analysis_cascade(spark, sf_dir):
     """Markers left after deleting every analysis that ended in ``forged``."""
-    gone = _slim(spark, sf_dir).where(F.col("decision") == "forged")
+    gone = _slim(spark, sf_dir, "decision").where(F.col("decision") == "forged")
     (left,) = W.delete_cascade(gone, marker_table(spark, sf_dir))
     return W.distribution(left, "name")
 
 
 @query("w_latest_analysis_per_document", f"{CTES} SELECT document_id, max(analysis_id) AS analysis_id FROM an GROUP BY 1")
 def latest_analysis_per_document(spark, sf_dir):
-    return W.latest_per_document(_slim(spark, sf_dir)).select("document_id", "analysis_id")
+    return W.latest_per_document(unscored(spark, sf_dir)).select("document_id", "analysis_id")
 
 
 _NESTED = ("SELECT an.analysis_id, an.document_id, an.risk_score, string_agg(name || ':' || CAST(CAST(score AS DECIMAL(9,2)) AS VARCHAR), ';' "
            "ORDER BY score DESC, pos) AS markers FROM an LEFT JOIN mt ON mt.analysis_id = an.analysis_id {} GROUP BY 1, 2, 3")
 
 
-def nested_results(spark, sf_dir) -> DataFrame:
+def nested_results(spark, sf_dir, where: Column | None = None) -> DataFrame:
     """Analysis rows with their markers, highest stored score first.
 
     The markers never left the analysis row, so nothing has to be collected per group.
@@ -167,7 +187,7 @@ def nested_results(spark, sf_dir) -> DataFrame:
     ranked = F.array_sort(F.transform("markers", lambda m, i: F.struct(
         (-F.round(m["score"] * 100, 2)).alias("k"), i.alias("i"), m["name"].alias("name"))))
     shown = F.transform(ranked, lambda r: F.concat(r["name"], F.lit(":"), (-r["k"]).cast("decimal(9,2)").cast("string")))
-    return analyses(spark, sf_dir).select(
+    return analyses(spark, sf_dir, "markers", "risk_score", where=where).select(
         "analysis_id", "document_id", "risk_score", F.array_join(shown, ";").alias("markers"))
 
 
@@ -178,7 +198,9 @@ def analysis_result_nested(spark, sf_dir):
 
 @query("w_single_result_lookup", f"{CTES} {_NESTED.format('WHERE an.analysis_id = 2040')}")
 def single_result_lookup(spark, sf_dir):
-    return nested_results(spark, sf_dir).where(F.col("analysis_id") == 2040)
+    """The analysis number gives the document, so only that one is rendered and scored."""
+    wanted = 2040
+    return nested_results(spark, sf_dir, F.col("doc_id") == wanted // 2).where(F.col("analysis_id") == wanted)
 
 
 @query("w_document_content", DOCS + "SELECT doc_id, filename, text, page_count AS pages, coalesce(md_author, '') AS author FROM biz WHERE doc_id = 1155")
@@ -196,7 +218,7 @@ FROM orders LEFT JOIN scored ON doc_id = o_orderkey)"""
 def items(spark, sf_dir) -> DataFrame:
     """Every order is requested; orders without lines have no document."""
     requested = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"))
-    analysed = assess(business_documents(spark, sf_dir), AS_OF).select(
+    analysed = assess(business_documents(spark, sf_dir), AS_OF, wanted=["risk_score", "decision"]).select(
         F.col("doc_id").alias("document_id"), F.col("filename").alias("original_filename"), "risk_score", "decision")
     return W.batch_items(requested, analysed)
 
@@ -220,9 +242,12 @@ def unique_ids(spark, sf_dir):
     return W.matched_ids(documents(spark, sf_dir), names)
 
 
-@query("w_dashboard_declared", f"{CTES} SELECT name AS top_marker, count(*) AS top_marker_count FROM mt GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+@query("w_dashboard_declared", f"{CTES}, t AS (SELECT name, count(*) AS n FROM mt GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1) SELECT t.name AS top_marker, t.n AS top_marker_count, "
+       f"(SELECT count(*) FROM biz WHERE uploaded_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY) AS files_this_week, "
+       f"(SELECT count(*) FROM an WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY) AS analyses_this_week FROM t")
 def dashboard_declared(spark, sf_dir):
-    return W.top_marker(marker_table(spark, sf_dir))
+    """The most frequent marker beside the activity of the week: one row each."""
+    return W.top_marker(marker_table(spark, sf_dir)).join(activity_last_7_days(spark, sf_dir))
 
 
 @query("w_marker_frequency", f"{CTES} SELECT name, count(*) AS n FROM mt GROUP BY 1")

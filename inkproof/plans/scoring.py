@@ -5,29 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkproof.functions.text import computed_once, is_blank
 from inkproof.operators.doctype import classify
 from inkproof.operators.explain import explain_documents
 from inkproof.operators.features import extract_features
 from inkproof.operators.markers import detect_markers
 from inkproof.operators.risk import Thresholds, fold_back, score_documents
-from inkproof.functions.text import computed_once, is_blank
 
 
-def assess(df: DataFrame, as_of: str | None = None, thresholds: Thresholds = Thresholds()) -> DataFrame:
+def assess(
+    df: DataFrame, as_of: str | None = None, thresholds: Thresholds = Thresholds(), predictions: DataFrame | None = None,
+    wanted: list[str] | None = None,
+) -> DataFrame:
     """Markers and risk for a corpus, without the text features the risk does not read.
 
-    Every step is a projection, so the plan has no shuffle of its own.  Documents without
-    readable text are left out.
+    Every step is a projection, so the plan has no shuffle of its own unless ``predictions``
+    (doc_id, predictions: array of structs) are joined.  Texts without a readable character have
+    no marker of their own; leave them out before (``readable``) if they should not be scored.
+    ``wanted``: computed columns to keep.  The columns of ``df`` stay outside the part that is
+    computed once, so filters on them reach the scan.
     """
-    readable = df.where(~is_blank(F.col("text")))
-    return computed_once(score_documents(fold_back(detect_markers(readable, as_of)), thresholds))
+    rows = with_predictions(df, predictions)
+    scored = score_documents(fold_back(detect_markers(rows, as_of)), thresholds)
+    return computed_once(scored, df.columns, wanted)
+
+
+def readable(df: DataFrame) -> DataFrame:
+    return df.where(~is_blank(F.col("text")))
+
+
+def with_predictions(df: DataFrame, predictions: DataFrame | None) -> DataFrame:
+    if predictions is None:
+        return df
+    return df.join(predictions.select("doc_id", "predictions"), "doc_id", "left")
 
 
 def analyse(
     df: DataFrame, as_of: str | None = None, thresholds: Thresholds = Thresholds(),
-    filename_col: str | None = "filename",
+    filename_col: str | None = "filename", predictions: DataFrame | None = None,
 ) -> DataFrame:
-    """Features, markers, document type, risk and explanation for every document."""
-    readable = df.where(~is_blank(F.col("text")))
-    marked = fold_back(detect_markers(extract_features(readable), as_of))
-    return computed_once(explain_documents(score_documents(classify(marked, filename_col), thresholds)))
+    """Features, markers, document type, risk and explanation for every document with text."""
+    rows = with_predictions(readable(df), predictions)
+    marked = fold_back(detect_markers(extract_features(rows), as_of))
+    return computed_once(explain_documents(score_documents(classify(marked, filename_col), thresholds)), df.columns)

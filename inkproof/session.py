@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Every one of these can be set on a running session.
 RUNTIME_CONF = {
@@ -36,16 +36,3 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan over the cluster when it has fewer splits than there are cores.
-
-    A corpus in a handful of files would leave most executors idle in the CPU-heavy
-    text stages.  A large corpus already has more splits than cores; it is returned
-    untouched, so its text is never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(2 * cores, key)

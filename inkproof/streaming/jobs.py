@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkproof.plans.scoring import assess
+from inkproof.plans.scoring import assess, readable
 
 
 def daily_volume(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -20,6 +20,6 @@ def daily_volume(events: DataFrame, late: str = "1 day") -> DataFrame:
 def score_stream(documents: DataFrame, output: str, checkpoint: str, as_of: str | None = None):
     """Score each arriving document once and append it; stateless, so nothing is kept."""
     return (
-        assess(documents, as_of).writeStream.format("parquet").outputMode("append")
+        assess(readable(documents), as_of).writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(output)
     )

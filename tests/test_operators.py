@@ -1,12 +1,11 @@
 """Operators whose results SQL cannot give, against brute force; and streams against batch."""
 
-import difflib
 import tempfile
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from inkproof.operators.compare import similar_pairs, text_similarity
+from inkproof.operators.compare import similar_pairs
 from inkproof.operators.learning import stratified_split
 from inkproof.plans import registry
 from inkproof.plans.scoring import assess
@@ -17,13 +16,6 @@ from inkproof.streaming.jobs import score_stream
 SMALL = "/root/testdata/sf0.001"
 
 
-def test_sequence_ratio(spark):
-    pairs = [("the quick brown fox", "the quick red fox"), ("alpha", "beta"), ("same", "same")]
-    df = spark.createDataFrame(pairs, "a_text string, b_text string")
-    got = {(r.a_text, r.b_text): r.sequence for r in text_similarity(df).collect()}
-    assert got == {p: difflib.SequenceMatcher(None, *p).ratio() for p in pairs}
-
-
 def test_similar_pairs_match_brute_force_with_copies(spark):
     base = [f"w{i} w{i + 1} w{i + 2} w{i + 3} w{i + 4} common" for i in range(12)]
     texts = base + [base[0]] * 20 + [b + " extra" for b in base[:4]]
@@ -49,10 +41,14 @@ def test_split_is_exact_and_independent_of_partitioning(spark):
 
 
 def test_binary_is_rejected_and_encodings_decoded(spark):
-    rows = [(1, b"\x00\x01 payload"), (2, "hé".encode("utf-8")), (3, b"\xef\xbb\xbfhi"), (4, "hé!".encode("latin-1"))]
+    rows = [(1, b"\x00\x01 payload"), (2, "hé".encode("utf-8")), (3, b"\xef\xbb\xbfhi"), (4, "hé!".encode("latin-1")), (5, "\uac8d\U0001f600\uac8d".encode("utf-16-le")),
+            (6, b"\xfe\xff" + "\uac8d\n\uac8d".encode("utf-16-be")), (7, b" \x01 \n"), (8, None), (9, b"\x8d\xd8\x8d\xac"), (10, b""), (11, b"x" * 5000 + b"\x00")]
     got = {r.k: r for r in decode_files(spark.createDataFrame(rows, "k int, content binary")).collect()}
     assert "binary" in got[1].error and got[2].text == "hé" and got[3].text == "hi"
     assert got[4].encoding == "latin-1" and got[2].error is None
+    assert got[1].text is None and got[1].encoding is None and got[7].error and got[11].error
+    assert (got[5].text, got[5].encoding) == ("\uac8d\U0001f600\uac8d", "utf-16") and (got[6].text, got[6].line_count) == ("\uac8d\n\uac8d", 2)
+    assert got[8].text is None and got[8].error is None and got[9].encoding == "latin-1" and (got[10].text, got[10].line_count) == ("", 0)
 
 
 def test_stream_scores_like_batch(spark):
@@ -74,6 +70,22 @@ def test_marker_plan_has_no_shuffle(spark):
     assert "Exchange" not in plan
 
 
+def test_filters_go_below_the_rules(spark):
+    docs = business_documents(spark, SMALL)
+    for condition in (F.col("doc_id") == 1155, F.col("filename").contains("invoice"), F.col("uploaded_at") > "1997-01-01"):
+        plan = assess(docs, AS_OF, wanted=["risk_score"]).where(condition)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" in plan and "Filter" not in plan[:plan.index("Generate")]
+
+
+def test_scores_listen_to_predictions(spark):
+    docs = business_documents(spark, SMALL).limit(20)
+    one = "array(named_struct('model_name', 'm', 'genuine_probability', {}, 'fake_probability', {}))"
+    fake = docs.select("doc_id", F.expr(one.format("0.1D", "0.9D")).alias("predictions"))
+    plain = {r.doc_id: r for r in assess(docs, AS_OF).collect()}
+    for r in assess(docs, AS_OF, predictions=fake).collect():
+        assert r.ml_risk_score == 90.0 and r.risk_score > plain[r.doc_id].risk_score
+
+
 def test_registry_names_and_sql():
     entries = registry.load()
     assert len(entries) > 120
