@@ -231,3 +231,26 @@ def predict(models: dict, rows: DataFrame) -> DataFrame:
         for name, model in models.items()
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def standard_scale(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns divided by their population deviation, not centred; a constant one becomes NULL."""
+    spread = rows.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
+    return rows.withColumns({c: F.col(c) / F.lit(spread[c] or None).cast("double") for c in columns})
+
+
+def evaluate(predictions: DataFrame, metric_rows: DataFrame) -> DataFrame:
+    """Metrics of each model with its confusion counts."""
+    hit, positive = F.col("score") >= 0.5, F.col("label") == 1
+    counts = predictions.groupBy("model_name").agg(
+        F.count_if(~positive & ~hit).alias("tn"), F.count_if(~positive & hit).alias("fp"),
+        F.count_if(positive & ~hit).alias("fn"), F.count_if(positive & hit).alias("tp"), F.count(F.lit(1)).alias("samples"))
+    return metric_rows.join(counts, "model_name")
+
+
+def run_summary(split: DataFrame, n_features: int) -> DataFrame:
+    """One row about a training run: sizes, classes, features and models."""
+    return split.agg(
+        F.count(F.lit(1)).alias("samples"), F.count_if(~F.col("is_test")).alias("train_samples"), F.count_if("is_test").alias("test_samples"),
+        F.count_if(F.col("label") == 0).alias("genuine"), F.count_if(F.col("label") == 1).alias("fake"),
+    ).select("*", F.lit(n_features).alias("n_features"), F.lit(", ".join(C.MODEL_NAMES)).alias("models"))

@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None):
 def load() -> dict[str, Entry]:
     """Import every catalog module and return all entries."""
     from inkproof.plans.catalog import (  # noqa: F401
-        comparison, features, learning, markers, scoring, sources, streams, warehouse,
+        comparison, features, learning, markers, scoring, sources, storage, streams, warehouse,
     )
 
     return ENTRIES

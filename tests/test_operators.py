@@ -6,10 +6,13 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from inkproof.operators.compare import similar_pairs
-from inkproof.operators.learning import stratified_split
+from inkproof.operators import sinks
+from inkproof.operators.learning import rejected_labels, roc_curve, stratified_split
 from inkproof.plans import registry
 from inkproof.plans.scoring import assess
 from inkproof.sources.business import AS_OF, business_documents
+from inkproof.sources import rulebook
+from inkproof.sources.datasets import labelled_dataset, read_csv
 from inkproof.sources.files import decode_files
 from inkproof.streaming.jobs import score_stream
 
@@ -42,7 +45,7 @@ def test_split_is_exact_and_independent_of_partitioning(spark):
 
 def test_binary_is_rejected_and_encodings_decoded(spark):
     rows = [(1, b"\x00\x01 payload"), (2, "hé".encode("utf-8")), (3, b"\xef\xbb\xbfhi"), (4, "hé!".encode("latin-1")), (5, "\uac8d\U0001f600\uac8d".encode("utf-16-le")),
-            (6, b"\xfe\xff" + "\uac8d\n\uac8d".encode("utf-16-be")), (7, b" \x01 \n"), (8, None), (9, b"\x8d\xd8\x8d\xac"), (10, b""), (11, b"x" * 5000 + b"\x00")]
+            (6, b"\xfe\xff" + "\uac8d\n\uac8d".encode("utf-16-be")), (7, b" \x1c\n"), (8, None), (9, b"\x8d\xd8\x8d\xac"), (10, b""), (11, b"x" * 5000 + b"\x00")]
     got = {r.k: r for r in decode_files(spark.createDataFrame(rows, "k int, content binary")).collect()}
     assert "binary" in got[1].error and got[2].text == "hé" and got[3].text == "hi"
     assert got[4].encoding == "latin-1" and got[2].error is None
@@ -90,3 +93,60 @@ def test_registry_names_and_sql():
     entries = registry.load()
     assert len(entries) > 120
     assert sum(1 for e in entries.values() if e.sql) > 110
+
+
+def test_stored_analyses_round_trip(spark):
+    work = tempfile.mkdtemp(prefix="spark-")
+    docs = business_documents(spark, SMALL).limit(30)
+    one = F.expr("array(named_struct('model_name', 'm', 'genuine_probability', 0.25D, 'fake_probability', 0.75D))").cast("array<struct<model_name:string,genuine_probability:double,fake_probability:double>>")
+    wide = assess(docs, AS_OF, predictions=docs.select("doc_id", one.alias("predictions"))).select(
+        F.col("doc_id").alias("analysis_id"), "risk_score", "markers", "predictions")
+    sinks.write_analyses(wide, work)
+    rows = {name: spark.read.parquet(f"{work}/{name}") for name in sinks.TABLES}
+    assert rows["analyses"].count() == 30 == rows["model_predictions"].count()
+    assert rows["markers"].count() == wide.agg(F.sum(F.size("markers"))).first()[0]
+    assert rows["markers"].where("score > 100 or score < 0 or name is null or evidence is null").isEmpty()
+
+
+def test_explanations_are_replaced_and_deleted(spark):
+    work = tempfile.mkdtemp(prefix="spark-") + "/explanations"
+    rows = spark.createDataFrame([(1, ("a",)), (2, ("b",))], "analysis_id long, explanation struct<summary: string>")
+    sinks.write_explanations(rows, work, 1)
+    sinks.write_explanations(rows.where("analysis_id = 1").withColumn("explanation", F.struct(F.lit("c").alias("summary"))), work, 2)
+    sinks.delete_explanations(rows.where("analysis_id = 2"), work, 3)
+    got = sinks.read_explanations(spark, work, "struct<summary: string>").collect()
+    assert [(r.analysis_id, r.explanation.summary) for r in got] == [(1, "c")]
+
+
+def test_labelled_csv_file(spark):
+    work = tempfile.mkdtemp(prefix="spark-")
+    with open(f"{work}/d.csv", "w") as f:
+        f.write('# made for a test\ndocument_id,Text,is_fake\n1,"two\nlines, ""quoted""",fake\n2,plain,0\n3,odd,maybe\n')
+    rows = labelled_dataset(read_csv(spark, f"{work}/d.csv")).collect()
+    assert [(r.document_id, r.text, r.label) for r in rows] == [("1", 'two\nlines, "quoted"', 1), ("2", "plain", 0)]
+    numbers = labelled_dataset(spark.createDataFrame([("a", 1.0), ("b", 0.0), ("c", 5.0)], "body string, y double")).collect()
+    assert [(r.text, r.label) for r in numbers] == [("a", 1), ("b", 0)]
+    odd = spark.createDataFrame([("7",), ("fake",), (None,)], "label string")
+    assert [tuple(r) for r in rejected_labels(odd).collect()] == [("7", 1)]
+
+
+def test_rule_book_falls_back_to_the_package(spark):
+    assert rulebook.rules("no json") == rulebook.rules() == rulebook.rules("[1]")
+    assert rulebook.rules_table(spark, "{").count() == len(rulebook.rules())
+    own = '{"categories": {"c": {"rules": [{"name": "n", "severity": "low", "score": 0.1, "threshold": 2, "patterns": ["ab", "c"]}]}}}'
+    docs = spark.createDataFrame([(1, "ab c"), (2, "ab"), (3, None)], "doc_id long, text string")
+    assert [(r.doc_id, r.hits) for r in rulebook.scan(docs, rulebook.rules(own)).collect()] == [(1, 2)]
+
+
+def test_one_word_in_all_and_many_near_copies(spark):
+    """A word that every document has and 2000 near copies: pairs are those of the result, no more."""
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, "common " + " ".join(base[:30] + [f"a{i}x{k}" for k in range(12)])) for i in range(2000)]
+    rows += [(5000 + i, "common " + " ".join(f"b{i}x{k}" for k in range(20))) for i in range(2000)] + [(9000, rows[0][1] + " more")]
+    got = similar_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 0.8).collect()
+    assert [(r.rep_a, r.rep_b) for r in got] == [(0, 9000)]
+
+
+def test_roc_curve_of_one_class_is_empty(spark):
+    rows = spark.createDataFrame([("m", 1, 0.5), ("m", 1, 0.2)], "model_name string, label int, score double")
+    assert roc_curve(rows).isEmpty()
