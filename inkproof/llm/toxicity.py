@@ -22,7 +22,7 @@ from inkproof.llm.textbatch import ALNUM, Words, chunks
 #: Bounds of the fitted model: labelled rows, terms, examples in the index (toxic and other).
 MAX_LABELLED, MAX_TERMS, MAX_EXAMPLES = 100_000, 20_000, 4_000
 PREFIXES = (4, 5, 6)
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 64, 2
 #: Standard deviations that a term's toxic count lies above chance, least toxic texts, least ratio to chance.
 SIGNIFICANT, LEAST_TEXTS, LEAST_LIFT = 5.0, 4, 2.0
 #: Share assumed for one imaginary row where no labelled row says anything.
@@ -125,34 +125,56 @@ class BlockMaxIndex:
         for at, (_, _, terms, counts) in enumerate(examples):
             for t, x in zip(terms.tolist(), weights(terms, counts, idf).tolist(), strict=True):
                 lists.setdefault(t, []).append((at, x))
+        #: Of each term: examples, weights and the examples' blocks; the largest weight in each block.
         self.lists: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.most: dict[int, np.ndarray] = {}
         for t, entries in lists.items():
             at = np.array([e[0] for e in entries])
             x = np.array([e[1] for e in entries])
-            self.lists[t] = at, x, np.searchsorted(at, np.arange(self.blocks + 1) * BLOCK)
+            self.lists[t] = at, x, at // BLOCK
             most = np.zeros(self.blocks)
             np.maximum.at(most, at // BLOCK, x)
             self.most[t] = most
+        self.own: dict[object, list[int]] = {}
+        for at, e in enumerate(self.ids):
+            self.own.setdefault(e, []).append(at)
+
+    def _scores(self, query: list[tuple[int, float]], blocks: np.ndarray, leave_out: object) -> np.ndarray:
+        """Cosines with the examples of the marked blocks, 0 elsewhere."""
+        at, x = [], []
+        for t, q in query:
+            own, w, block = self.lists[t]
+            kept = blocks[block]
+            at.append(own[kept])
+            x.append(q * w[kept])
+        scores = np.bincount(np.concatenate(at), np.concatenate(x), len(self.ids))
+        if leave_out is not None:
+            scores[self.own.get(leave_out, [])] = 0
+        return scores
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, leave_out: object = None) -> list[tuple[float, int]]:
-        """The NEIGHBOURS examples of largest cosine over 0, as (cosine, number); ties go to the lower number."""
+        """The NEIGHBOURS examples of largest cosine over 0, as (cosine, number); ties go to the lower number.
+
+        The most promising blocks give a cosine that the nearest ones reach at least; blocks whose bound
+        is lower are never looked at.
+        """
         query = [(t, x) for t, x in zip(terms.tolist(), weights(terms, counts, self.idf).tolist(), strict=True) if t in self.lists]
         if not query:
             return []
         bound = sum(x * self.most[t] for t, x in query)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) >= NEIGHBOURS and bound[b] < best[-1][0] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, x in query:
-                at, w, ends = self.lists[t]
-                a, z = ends[b], ends[b + 1]
-                score[at[a:z] - b * BLOCK] += x * w[a:z]
-            found = [(float(score[i]), b * BLOCK + i) for i in np.flatnonzero(score > 0).tolist()]
-            best = sorted(best + [f for f in found if self.ids[f[1]] != leave_out], key=lambda f: (-f[0], f[1]))[:NEIGHBOURS]
-        return best
+        blocks = bound > 0
+        if self.blocks > FIRST_BLOCKS:
+            first = np.zeros(self.blocks, bool)
+            first[np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS]] = True
+            seen = self._scores(query, first & blocks, leave_out)
+            if len(seen) > NEIGHBOURS:
+                blocks &= bound >= np.partition(seen, -NEIGHBOURS)[-NEIGHBOURS] - 1e-12
+        scores = self._scores(query, blocks, leave_out)
+        found = np.flatnonzero(scores > 0)
+        if len(found) > NEIGHBOURS:
+            found = found[scores[found] >= np.partition(scores[found], -NEIGHBOURS)[-NEIGHBOURS]]
+        best = found[np.lexsort((found, -scores[found]))][:NEIGHBOURS]
+        return [(float(scores[i]), int(i)) for i in best]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Mean label weighted by the cosine; -1 without a neighbour."""
@@ -237,7 +259,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold: Column | None = Non
     examples.sort(key=lambda e: (df[e[2]].min(), int(e[2][np.argmin(df[e[2]])]), str(e[0])))
     index = BlockMaxIndex(examples, idf)
     fields = f"doc_id {kind}, vote double, score double, evidence array<struct<doc_id: string, cosine: double, label: int>>"
-    tried = some.select("doc_id", "terms", "counts").mapInArrow(_votes(index, True, lambda v, s: 0.0), fields)
+    tried = some.select("doc_id", "terms", "counts").repartition("doc_id").mapInArrow(_votes(index, True, lambda v, s: 0.0), fields)
     seen = (
         tried.select("doc_id", F.round("vote", 2).alias("vote")).join(known, "doc_id").groupBy("vote")
         .agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("rows")).collect()  # about 100 votes
@@ -249,7 +271,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold: Column | None = Non
             return base
         return float(np.interp(vote, *steps))
 
-    return vectors.mapInArrow(_votes(index, False, score), fields)
+    # the vectors lie in few small files: deal the rows with terms out, the others need no neighbours
+    with_terms = vectors.filter(F.size("terms") > 0).repartition("doc_id").mapInArrow(_votes(index, False, score), fields)
+    evidence = dict(with_terms.dtypes)["evidence"]
+    rest = vectors.filter(F.size("terms") == 0).select(
+        "doc_id", F.lit(-1.0).alias("vote"), F.lit(float(base)).alias("score"), F.array().cast(evidence).alias("evidence"))
+    return with_terms.unionByName(rest)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, cut: float = 0.3) -> DataFrame:
