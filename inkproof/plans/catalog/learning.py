@@ -144,8 +144,12 @@ def label_numbers(spark, sf_dir):
 
 @query("ml_train_and_predict")
 def train_and_predict(spark, sf_dir):
-    """Three classifiers fitted on four fifths of the rendered documents, applied to the rest."""
-    docs = feature_vector(extract_features(business_documents(spark, sf_dir))).select("doc_id", "label", "features")
-    split = L.stratified_split(docs, "doc_id", "label").cache()
-    models = L.train_models(split.where(~F.col("is_test")), trees=20, rounds=10)
-    return L.predict(models, split.where("is_test"))
+    """Three classifiers fitted on four fifths of the rendered documents, applied to the rest.
+
+    Keys and labels are split before the features are extracted, so those are computed once.
+    """
+    docs = business_documents(spark, sf_dir)
+    split = L.stratified_split(docs.select("doc_id", "label"), "doc_id", "label").select("doc_id", "is_test")
+    rows = feature_vector(extract_features(docs)).select("doc_id", "label", "features").join(split, "doc_id").cache()
+    models = L.train_models(rows.where(~F.col("is_test")))
+    return L.predict(models, rows.where("is_test"))
