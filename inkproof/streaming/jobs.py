@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkproof.operators.artifacts import FreshModels, predictions_of
+from inkproof.operators.features import extract_features, feature_vector
 from inkproof.plans.scoring import assess, readable
 
 
@@ -23,3 +25,16 @@ def score_stream(documents: DataFrame, output: str, checkpoint: str, as_of: str
         assess(readable(documents), as_of).writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(output)
     )
+
+
+def score_stream_with_models(documents: DataFrame, models: str, target: str, checkpoint: str, as_of: str | None = None):
+    """The same with the newest saved classifiers: every batch looks whether there are newer ones."""
+    fresh = FreshModels(documents.sparkSession, models)
+
+    def run(batch: DataFrame, _: int) -> None:
+        rows = readable(batch)
+        vectors = feature_vector(extract_features(rows)).select("doc_id", F.lit(0).alias("label"), "features")
+        scored = assess(rows, as_of, predictions=predictions_of(fresh.get(), vectors))
+        scored.withColumn("model_version", F.lit(fresh.version)).write.mode("append").parquet(target)
+
+    return documents.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,15 +6,16 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from inkproof.operators.compare import similar_pairs
-from inkproof.operators import sinks
-from inkproof.operators.learning import rejected_labels, roc_curve, stratified_split
+from inkproof.operators import artifacts, sinks
+from inkproof.operators.features import extract_features, feature_vector
+from inkproof.operators.learning import predict, rejected_labels, roc_auc, roc_curve, stratified_split, train_models
 from inkproof.plans import registry
 from inkproof.plans.scoring import assess
 from inkproof.sources.business import AS_OF, business_documents
 from inkproof.sources import rulebook
 from inkproof.sources.datasets import labelled_dataset, read_csv
 from inkproof.sources.files import decode_files
-from inkproof.streaming.jobs import score_stream
+from inkproof.streaming.jobs import score_stream, score_stream_with_models
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -150,3 +151,25 @@ def test_one_word_in_all_and_many_near_copies(spark):
 def test_roc_curve_of_one_class_is_empty(spark):
     rows = spark.createDataFrame([("m", 1, 0.5), ("m", 1, 0.2)], "model_name string, label int, score double")
     assert roc_curve(rows).isEmpty()
+
+
+def test_saved_models_are_picked_up_when_newer(spark):
+    work = tempfile.mkdtemp(prefix="spark-")
+    docs = business_documents(spark, SMALL).limit(120)
+    docs.write.parquet(f"{work}/in")
+    stored = spark.read.parquet(f"{work}/in")
+    rows = feature_vector(extract_features(stored)).select("doc_id", "label", "features")
+    models = train_models(rows, trees=3, rounds=2)
+    assert artifacts.latest_version(spark, f"{work}/models") is None
+    artifacts.save_models(spark, models, f"{work}/models", 1)
+    fresh = artifacts.FreshModels(spark, f"{work}/models")
+    artifacts.save_models(spark, {"random_forest": models["random_forest"]}, f"{work}/models", 2)
+    assert fresh.version == 1 and set(fresh.get()) == {"random_forest"} and fresh.version == 2
+    every = predict(models, rows).collect()
+    assert all(abs(p.genuine_probability + p.fake_probability - 1) < 1e-5 for p in every) and len(every) == 360
+    auc = {r.model_name: r.roc_auc for r in roc_auc(predict(models, rows).withColumnRenamed("fake_probability", "score")).collect()}
+    assert all(a > 0.5 for a in auc.values())
+    stream = spark.readStream.schema(stored.schema).parquet(f"{work}/in")
+    score_stream_with_models(stream, f"{work}/models", f"{work}/out", f"{work}/checkpoint", AS_OF).awaitTermination()
+    live = spark.read.parquet(f"{work}/out")
+    assert live.count() == 120 and live.where("ml_risk_score <> 50").count() > 0 and live.where("model_version <> 2").isEmpty()
