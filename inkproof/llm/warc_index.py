@@ -22,8 +22,9 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
+
 import zstandard
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +96,7 @@ def _write(folder: str, date: str):
             rows = []
             for r in batch.to_pylist():
                 if out is None:
-                    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+                    fs, path = arrow_fs.FileSystem.from_uri(folder)
                     fs.create_dir(path, recursive=True)
                     out = fs.open_output_stream(f"{path}/{name}", compression=None)
                 packer = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -137,7 +138,7 @@ def _pack(folder: str):
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
-                    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+                    fs, path = arrow_fs.FileSystem.from_uri(folder)
                     fs.create_dir(path, recursive=True)
                     out, first = fs.open_output_stream(f"{path}/{name}", compression=None), row
                 held.append(row)
@@ -168,7 +169,7 @@ class Index:
     """Lookups in the files that build_index has written; keeps the last directory and block."""
 
     def __init__(self, top: list[tuple[bytes, int, bytes, int, str]], folder: str) -> None:
-        self.top, self.fs, self.path = top, *pyarrow.fs.FileSystem.from_uri(folder)
+        self.top, self.fs, self.path = top, *arrow_fs.FileSystem.from_uri(folder)
         self.starts = [t[:2] for t in top]
         self.file = self.directory = self.block = None
         self.block_at = (-1, -1)
@@ -203,7 +204,7 @@ class Index:
 
 def ranges(wanted: list[tuple[str, int, int]], folder: str) -> Iterator[bytes]:
     """The gzip members at (file, offset, length), read file by file in order; near ones in one read."""
-    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+    fs, path = arrow_fs.FileSystem.from_uri(folder)
     wanted = sorted(wanted)
     i = 0
     while i < len(wanted):
