@@ -74,16 +74,26 @@ def parents(rows: DataFrame) -> DataFrame:
 
 
 def roots(links: DataFrame) -> DataFrame:
-    """(message_id, root, depth) for (message_id, parent_id): a parent is always earlier, so there is no circle."""
-    jumps = stored(links.select("message_id", F.col("parent_id").alias("root"), F.lit(1).alias("depth")), "jumps")
+    """(message_id, root, depth) for (message_id, parent_id): a parent is always earlier, so there is no circle.
+
+    Each turn replaces a message's ancestor by that one's own ancestor. A message whose ancestor is a
+    first message, or has its root already, is settled and moves no more.
+    """
+    active = stored(links.select("message_id", F.col("parent_id").alias("root"), F.lit(1).alias("depth")), "jumps")
+    settled = None
     while True:
-        up = jumps.select(F.col("message_id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        turned = stored(jumps.join(up, "root", "left").select(
-            "message_id", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "turn")
-        more = turned.filter("moved").limit(1).count()
-        jumps = turned.drop("moved")
-        if not more:
-            return jumps
+        known = active.withColumn("final", F.lit(False))
+        if settled is not None:
+            known = known.unionByName(settled.withColumn("final", F.lit(True)))
+        up = known.select(F.col("message_id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"), "final")
+        turned = stored(active.join(up, "root", "left").select(
+            "message_id", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+            F.coalesce("final", F.lit(True)).alias("final")), "turn")
+        done = turned.filter("final").drop("final")
+        settled = done if settled is None else settled.unionByName(done)
+        active = turned.filter("not final").drop("final")
+        if active.isEmpty():
+            return settled
 
 
 def conversations(messages: DataFrame) -> DataFrame:
