@@ -23,8 +23,9 @@ from inkproof.llm.textbatch import ALNUM, Words, chunks
 MAX_LABELLED, MAX_TERMS, MAX_EXAMPLES = 100_000, 20_000, 4_000
 PREFIXES = (4, 5, 6)
 NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 64, 2
-#: Standard deviations that a term's toxic count lies above chance, least toxic texts, least ratio to chance.
-SIGNIFICANT, LEAST_TEXTS, LEAST_LIFT = 5.0, 4, 2.0
+#: Standard deviations that a term's toxic count lies above chance, least toxic texts, least ratio of the odds to those of all.
+#: A few copies of one toxic text, or chance among a million terms, must not make a term.
+SIGNIFICANT, LEAST_TEXTS, LEAST_ODDS = 7.0, 8, 10.0
 #: Share assumed for one imaginary row where no labelled row says anything.
 PRIOR = 0.05
 
@@ -229,10 +230,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold: Column | None = Non
     share = (toxic or 0) / rows if rows else 0.0
     counted = own.select("text", F.col("label").cast("double").alias("label")).mapInArrow(_label_counts, "term long, toxic long, texts long")
     chance = F.col("texts") * share
+    odds = F.col("toxic") * (1 - share) / (share * (F.col("texts") - F.col("toxic")) + 1e-9)
     lift = (F.col("toxic") - chance) / F.sqrt(chance * (1 - share) + 1e-9)
     chosen = (
         counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts"))
-        .filter((F.col("toxic") >= LEAST_TEXTS) & (lift >= SIGNIFICANT) & (F.col("toxic") >= LEAST_LIFT * chance))
+        .filter((F.col("toxic") >= LEAST_TEXTS) & (lift >= SIGNIFICANT) & (odds >= LEAST_ODDS))
         .orderBy(lift.desc(), "term").limit(MAX_TERMS).select("term").collect()
     )
     vocabulary = np.sort(np.array([r.term for r in chosen], np.int64).view(np.uint64))
@@ -258,8 +260,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold: Column | None = Non
     # neighbours in a block should be alike: by first term, rarest first
     examples.sort(key=lambda e: (df[e[2]].min(), int(e[2][np.argmin(df[e[2]])]), str(e[0])))
     index = BlockMaxIndex(examples, idf)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a given number is not merged again: rows are few bytes but much work
     fields = f"doc_id {kind}, vote double, score double, evidence array<struct<doc_id: string, cosine: double, label: int>>"
-    tried = some.select("doc_id", "terms", "counts").repartition("doc_id").mapInArrow(_votes(index, True, lambda v, s: 0.0), fields)
+    tried = some.select("doc_id", "terms", "counts").repartition(tasks, "doc_id").mapInArrow(_votes(index, True, lambda v, s: 0.0), fields)
     seen = (
         tried.select("doc_id", F.round("vote", 2).alias("vote")).join(known, "doc_id").groupBy("vote")
         .agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("rows")).collect()  # about 100 votes
@@ -272,7 +275,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold: Column | None = Non
         return float(np.interp(vote, *steps))
 
     # the vectors lie in few small files: deal the rows with terms out, the others need no neighbours
-    with_terms = vectors.filter(F.size("terms") > 0).repartition("doc_id").mapInArrow(_votes(index, False, score), fields)
+    with_terms = vectors.filter(F.size("terms") > 0).repartition(tasks, "doc_id").mapInArrow(_votes(index, False, score), fields)
     evidence = dict(with_terms.dtypes)["evidence"]
     rest = vectors.filter(F.size("terms") == 0).select(
         "doc_id", F.lit(-1.0).alias("vote"), F.lit(float(base)).alias("score"), F.array().cast(evidence).alias("evidence"))
