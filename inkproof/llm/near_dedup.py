@@ -30,6 +30,8 @@ from inkproof.llm.components import components
 from inkproof.llm.textbatch import NOT_BLANK, U64, chunks, mix
 
 SCREEN, WIDE, UNION_SKETCH = 64, 1024, 256
+#: Flips the top bit, so that the values are in the same order as signed numbers: Spark knows no others.
+SIGN = U64(1 << 63)
 DEVIATIONS = 5.5
 _WEIGHTS = [U64(x) for x in (0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x589965CC75374CC3)]
 
@@ -69,7 +71,7 @@ def _signatures(keep: int | None):
                         keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                         values.append(s[:keep] if keep else s)
                         ends.append(ends[-1] + len(values[-1]))
-                flat = pa.array(np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64))
+                flat = pa.array((np.concatenate(values) ^ SIGN).view(np.int64) if values else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],

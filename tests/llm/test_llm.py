@@ -82,6 +82,21 @@ def test_near_duplicates_like_brute_force(spark):
     assert {r.kept for r in got if r.doc_id is None} == {True}
 
 
+def test_near_duplicates_of_shortened_texts(spark):
+    """Texts of 300 to 600 words and their first 75 to 80 percent: the union sketch must not lose a link."""
+    rows, linked = [], 0
+    for i in range(120):
+        text = words(300 + 300 * i // 119, 7000 + i, 10**6)
+        n = len(text) - 4
+        cut = -(-n * (750 + i % 6 * 10) // 1000)
+        rows += [(2 * i, " ".join(text), "a"), (2 * i + 1, " ".join(text[:cut + 4]), "a")]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        linked += 4 * len(a & b) >= 3 * len(a | b)
+    assert linked == 120
+    got = {r.doc_id: r.component_id for r in near_duplicates(documents(spark, rows)).collect()}
+    assert [i for i in range(120) if got[2 * i + 1] != 2 * i] == []
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(documents(spark, []).limit(0)).count() == 0
 
