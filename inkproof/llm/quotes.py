@@ -127,17 +127,21 @@ def conversations(messages: DataFrame) -> DataFrame:
 def as_mail(turns: DataFrame, spacing: int = 4096) -> DataFrame:
     """Turns of conversations as messages that quote the two turns before them, as mail programs do.
 
-    turns: conv_id, turn, text; message_id is conv_id * spacing + turn. Repeated turns count once (the
-    smallest text); rows without a number are left out.
+    turns: conv_id, turn, text; message_id is conv_id * spacing + turn. Where the turns need more room,
+    the spacing grows to it, and negative turns are counted from the smallest one, so that no two turns
+    share an id. Repeated turns count once (the smallest text); rows without a number are left out.
     """
     one = turns.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).groupBy("conv_id", "turn").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     one = stored(one, "turns")
+    first, last = one.agg(F.min("turn"), F.max("turn")).first()
+    first = min(0, first or 0)
+    spacing = max(spacing, (last or 0) - first + 1)
     earlier = lambda k: one.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("text").alias(f"q{k}"))
     quoted = lambda name, mark: F.when(F.col(name).isNotNull(), F.concat(F.lit(f"\n{mark} "), F.regexp_replace(name, "\n", f"\n{mark} ")))
     rows = one.join(earlier(1), ["conv_id", "turn"], "left").join(earlier(2), ["conv_id", "turn"], "left")
     second = F.when(F.col("q1").isNotNull(), quoted("q2", ">>"))
     return rows.select(
-        (F.col("conv_id") * spacing + F.col("turn")).alias("message_id"),
+        (F.col("conv_id").cast("long") * F.lit(spacing).cast("long") + (F.col("turn") - F.lit(first))).alias("message_id"),
         F.concat(F.col("text"), F.coalesce(quoted("q1", ">"), F.lit("")), F.coalesce(second, F.lit(""))).alias("body"))
 
 

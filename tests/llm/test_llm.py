@@ -337,6 +337,17 @@ def test_quotation_links(spark):
     assert {r.message_id % 4096: r.body for r in quotes.as_mail(turns).collect() if r.message_id < 8192} == {0: "a\nb", 1: "c\n> a\n> b", 2: "d\n> c\n>> a\n>> b"}
 
 
+def test_mail_of_long_conversations_and_negative_turns(spark):
+    """5 000 turns reach into the next number at a spacing of 4 096, negative turns into the one before."""
+    rows = [(c, t, f"c{c}t{t}") for c, n in ((1, 5000), (2, 1000)) for t in range(n)] + [(2, -1, "c2t-1"), (3, -2, "c3t-2")]
+    mail = quotes.as_mail(spark.createDataFrame(rows, "conv_id int, turn int, text string"))
+    got = {r.message_id: r.body.split("\n") for r in mail.collect()}
+    assert mail.count() == len(got) == len(rows)
+    assert [got[i][0] for i in sorted(got)] == [t for *_, t in sorted(rows)]
+    out = quotes.conversations(mail).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("text")).collect()
+    assert sorted(r.n for r in out) == [1, 1001, 5000]
+
+
 @pytest.fixture(scope="module")
 def extractor():
     return default_extractor()
