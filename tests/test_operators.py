@@ -1,5 +1,6 @@
 """Operators whose results SQL cannot give, against brute force; and streams against batch."""
 
+import inspect
 import tempfile
 from itertools import combinations
 
@@ -10,6 +11,7 @@ from inkproof.operators import artifacts, sinks
 from inkproof.operators.features import extract_features, feature_vector
 from inkproof.operators.learning import predict, rejected_labels, roc_auc, roc_curve, stratified_split, train_models
 from inkproof.plans import registry
+from inkproof.plans.catalog import learning
 from inkproof.plans.scoring import assess
 from inkproof.sources.business import AS_OF, business_documents
 from inkproof.sources import rulebook
@@ -153,6 +155,19 @@ def test_roc_curve_of_one_class_is_empty(spark):
     assert roc_curve(rows).isEmpty()
 
 
+def test_training_query_has_the_full_settings(spark, monkeypatch):
+    asked = []
+
+    def fewer(train, **given):
+        asked.append({k: p.default for k, p in inspect.signature(train_models).parameters.items() if k != "train"} | given)
+        return train_models(train, trees=2, rounds=2)
+
+    monkeypatch.setattr(learning.L, "train_models", fewer)
+    out = learning.train_and_predict(spark, SMALL)
+    assert asked == [{"trees": 300, "rounds": 300}]
+    assert {r.model_name for r in out.select("model_name").distinct().collect()} == {"logistic_regression", "random_forest", "xgboost"}
+
+
 def test_saved_models_are_picked_up_when_newer(spark):
     work = tempfile.mkdtemp(prefix="spark-")
     docs = business_documents(spark, SMALL).limit(120)
