@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkproof.llm import mix_weights, quotes
+from inkproof.llm import mix_weights, quotes, quotient_dedup
 from inkproof.llm.common import table
 from inkproof.llm.compression_quality import quality_scores
 from inkproof.llm.decision_rules import judge
@@ -13,6 +13,7 @@ from inkproof.llm.decontaminate import contamination_report
 from inkproof.llm.host_reputation import judge_urls
 from inkproof.llm.html_extract import main_texts
 from inkproof.llm.near_dedup import near_duplicates
+from inkproof.llm.quotient_dedup import exact_duplicates
 from inkproof.llm.toxicity import toxicity_scores
 from inkproof.llm.warc_index import archive_round_trip
 
@@ -61,10 +62,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("evidence")
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_warc_index, op2_source_mix, op3_near_dedup, op4_quotation_links, op5_decontaminate, op6_html_main_text,
-        op7_compression_quality, op8_quality_rules, op9_host_reputation, op10_toxicity)
+        op7_compression_quality, op8_quality_rules, op9_host_reputation, op10_toxicity,
+        op13_exact_dedup)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -101,6 +107,7 @@ SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.b) AS comp
 FROM w JOIN reach ON w.doc_id = reach.a LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id
 """,
     "op4_quotation_links": quotes.SQL,
+    "op13_exact_dedup": quotient_dedup.SQL,
     "op5_decontaminate": f"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS a FROM documents
