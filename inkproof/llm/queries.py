@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkproof.llm import iceberg_terms, mix_weights, quotes, quotient_dedup
+from inkproof.llm import iceberg_terms, mix_weights, quotes, quotient_dedup, turn_repair
 from inkproof.llm.common import table
 from inkproof.llm.compression_quality import quality_scores
 from inkproof.llm.decision_rules import judge
@@ -62,6 +62,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("evidence")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iceberg_terms.source_divergence(table(spark, sf_dir, "documents"))
 
@@ -74,7 +78,7 @@ QUERIES = {
     f.__name__: f for f in (
         op1_warc_index, op2_source_mix, op3_near_dedup, op4_quotation_links, op5_decontaminate, op6_html_main_text,
         op7_compression_quality, op8_quality_rules, op9_host_reputation, op10_toxicity,
-        op12_source_divergence, op13_exact_dedup)
+        op11_turn_repair, op12_source_divergence, op13_exact_dedup)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -111,6 +115,7 @@ SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.b) AS comp
 FROM w JOIN reach ON w.doc_id = reach.a LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id
 """,
     "op4_quotation_links": quotes.SQL,
+    "op11_turn_repair": turn_repair.SQL,
     "op12_source_divergence": iceberg_terms.SQL,
     "op13_exact_dedup": quotient_dedup.SQL,
     "op5_decontaminate": f"""
