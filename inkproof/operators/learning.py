@@ -218,11 +218,15 @@ def train_models(train: DataFrame, trees: int = 300, rounds: int = 300) -> dict:
 
 
 def predict(models: dict, rows: DataFrame) -> DataFrame:
-    """Long predictions (doc_id, label, model_name, genuine/fake probability)."""
+    """Long predictions (doc_id, label, model_name, genuine/fake probability); no rows without models."""
     from functools import reduce
 
     from pyspark.ml.functions import vector_to_array
 
+    if not models:
+        none = F.lit(None)
+        return rows.limit(0).select("doc_id", "label", none.cast("string").alias("model_name"), *[
+            none.cast("double").alias(f"{c}_probability") for c in ("genuine", "fake")])
     parts = [
         model.transform(rows).select(
             "doc_id", "label", F.lit(name).alias("model_name"),

@@ -11,13 +11,6 @@ from pyspark.sql import functions as F
 from inkproof.functions.text import explode_rows
 from inkproof.operators.risk import display_category, display_severity, normalise_prediction
 
-TABLES = ("analyses", "markers", "model_predictions")
-
-
-def analysis_rows(analyses: DataFrame) -> DataFrame:
-    return analyses.drop("markers", "predictions")
-
-
 def marker_rows(analyses: DataFrame) -> DataFrame:
     """A row for each marker; scores in percent with two digits, texts lower-cased and never NULL."""
     word = lambda c, instead: F.lower(F.trim(F.coalesce(F.col(c), F.lit(instead))))
@@ -34,18 +27,6 @@ def prediction_rows(analyses: DataFrame) -> DataFrame:
     return explode_rows(analyses, fixed, "analysis_id").select("analysis_id", "m.*")
 
 
-def write_analyses(analyses: DataFrame, target: str) -> None:
-    """Appends analyses (with markers and predictions inside) to the three tables below the target.
-
-    Scoring happens once: the wide rows are stored first and the tables are made from those.
-    """
-    wide = f"{target}/wide"
-    analyses.write.mode("overwrite").parquet(wide)
-    stored = analyses.sparkSession.read.schema(analyses.schema).parquet(wide)
-    for name, rows in zip(TABLES, (analysis_rows(stored), marker_rows(stored), prediction_rows(stored)), strict=True):
-        rows.write.mode("append").parquet(f"{target}/{name}")
-
-
 def write_explanations(rows: DataFrame, target: str, version: int) -> None:
     """Appends (analysis_id, explanation) as JSON; a NULL explanation deletes what was stored."""
     payload = F.when(F.col("explanation").isNotNull(), F.to_json("explanation"))

@@ -9,13 +9,15 @@ from inkproof.operators import learning as L
 from inkproof.operators import sinks as K
 from inkproof.operators.doctype import classify
 from inkproof.operators.features import word_count
+from inkproof.operators.risk import normalise_prediction
 from inkproof.plans import oracle as O
 from inkproof.plans.catalog.features import WORD_N
 from inkproof.plans.catalog.learning import _M, PRED as SCORED, _AUC, _COLS, all_metrics, scored_labels
 from inkproof.plans.catalog.scoring import _ML, FAKE, PRED, TYPE_CTES, predictions
-from inkproof.plans.catalog.warehouse import AN, CTES, MT, RISK, runs
+from inkproof.plans.catalog.warehouse import AN, MT, RISK, by_score, documents, runs
 from inkproof.plans.registry import query
 from inkproof.plans.scoring import assess
+from inkproof.plans.stored import stored
 from inkproof.sources import datasets, files, rulebook
 from inkproof.sources.business import AS_OF, business_documents
 from inkproof.sources.tables import table
@@ -38,21 +40,26 @@ modelled AS (SELECT *, CASE WHEN risk_score < 30 THEN 'original' WHEN risk_score
 {AN.replace('FROM scored', 'FROM modelled')}, {MT}"""
 
 
-@query("r_risk_score_with_models", _MODELLED + " SELECT document_id AS doc_id, ml_risk_score, risk_score, decision, confidence FROM an WHERE analysis_id % 2 = 0")
+def results(spark, sf_dir):
+    """The stored analyses with model predictions."""
+    return stored(spark, sf_dir, "modelled", lambda: documents(spark, sf_dir), lambda: modelled(spark, sf_dir))
+
+
+@query("r_risk_score_with_models", _MODELLED + " SELECT analysis_id, document_id AS doc_id, ml_risk_score, risk_score, decision, confidence FROM an")
 def risk_with_models(spark, sf_dir):
     """The models' predictions weigh in the score, the decision and the confidence."""
-    rows = modelled(spark, sf_dir, "ml_risk_score", "risk_score", "decision", "confidence").where(F.col("analysis_id") % 2 == 0)
-    return rows.select(F.col("document_id").alias("doc_id"), "ml_risk_score", "risk_score", "decision", "confidence")
+    rows = modelled(spark, sf_dir, "ml_risk_score", "risk_score", "decision", "confidence")
+    return rows.select("analysis_id", F.col("document_id").alias("doc_id"), "ml_risk_score", "risk_score", "decision", "confidence")
 
 
 @query("snk_analyses", f"{_MODELLED} SELECT analysis_id, document_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, {', '.join(RISK)} FROM an")
 def stored_analyses(spark, sf_dir):
-    return K.analysis_rows(modelled(spark, sf_dir)).select("analysis_id", "document_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), *RISK)
+    return results(spark, sf_dir).read("analyses").select("analysis_id", "document_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), *RISK)
 
 
-@query("snk_markers", f"{CTES} SELECT analysis_id, pos, category, name, severity, score FROM mt")
+@query("snk_markers", f"{_MODELLED} SELECT analysis_id, pos, category, name, severity, score FROM mt")
 def stored_markers(spark, sf_dir):
-    return K.marker_rows(modelled(spark, sf_dir, "markers")).select("analysis_id", F.col("pos").cast("bigint").alias("pos"), "category", "name", "severity", "score")
+    return results(spark, sf_dir).read("markers").select("analysis_id", F.col("pos").cast("bigint").alias("pos"), "category", "name", "severity", "score")
 
 
 _NORMAL = """SELECT doc_id, model_name, CASE WHEN g = 0 AND f = 0 THEN 0.5 ELSE g END AS g, CASE WHEN g = 0 AND f = 0 THEN 0.5 ELSE f END AS f
@@ -63,9 +70,20 @@ FROM (SELECT doc_id, model_name, coalesce(g, 0) AS g, coalesce(f, 0) AS f FROM p
 SELECT n.doc_id * 2 + v AS analysis_id, model_name, round(g, 6) AS genuine_probability, round(CASE WHEN abs(g + f - 1) > 0.02 THEN 1 - g ELSE f END, 6) AS fake_probability
 FROM n JOIN biz ON biz.doc_id = n.doc_id, (VALUES (0), (1)) r(v) WHERE v = 0 OR n.doc_id % 10 = 0""")
 def stored_predictions(spark, sf_dir):
-    """Nothing is scored for these rows."""
-    docs = business_documents(spark, sf_dir).withColumn("predictions", predictions(F.col("doc_id")))
-    return K.prediction_rows(runs(docs, "predictions"))
+    return results(spark, sf_dir).read("model_predictions").drop("bucket")
+
+
+@query("w_analysis_result_nested", f"""{_MODELLED}, n AS ({_NORMAL}), m AS (SELECT analysis_id, string_agg(name || ':' || severity || ':' || CAST(CAST(score AS DECIMAL(9,2)) AS VARCHAR), ';'
+ORDER BY score DESC, pos) AS markers FROM mt GROUP BY 1), p AS (SELECT doc_id, string_agg(model_name || ':' || printf('%.4f', g) || ':' || printf('%.4f', CASE WHEN abs(g + f - 1) > 0.02 THEN 1 - g ELSE f END), ';'
+ORDER BY model_name) AS predictions FROM n GROUP BY 1) SELECT an.analysis_id, an.document_id, risk_score, decision, confidence, coalesce(markers, '') AS markers, coalesce(predictions, '') AS predictions
+FROM an LEFT JOIN m ON m.analysis_id = an.analysis_id LEFT JOIN p ON p.doc_id = an.document_id""")
+def analysis_result_nested(spark, sf_dir):
+    """Each stored result with all its markers, highest score first, and its models' predictions."""
+    marks = F.transform(by_score("markers"), lambda r: F.concat_ws(":", r["name"], r["severity"], (-r["k"]).cast("decimal(9,2)").cast("string")))
+    fixed = F.array_sort(F.transform("predictions", normalise_prediction))
+    models = F.transform(fixed, lambda p: F.concat_ws(":", p["model_name"], F.format_string("%.4f", p["genuine_probability"]), F.format_string("%.4f", p["fake_probability"])))
+    return results(spark, sf_dir).read("analyses").select(
+        "analysis_id", "document_id", "risk_score", "decision", "confidence", F.array_join(marks, ";").alias("markers"), F.array_join(models, ";").alias("predictions"))
 
 
 _PILLAR_ROWS = [("Overall risk score", "risk_score"), ("Machine Learning Risk", "ml_risk_score"), ("Marker Risk", "marker_risk_score"),
@@ -84,7 +102,7 @@ _SHOWN = ("CASE category WHEN 'textual' THEN 'Content' WHEN 'numerical' THEN 'In
        f"SELECT analysis_id, 'markers', pos, name, printf('%.2f', score), {_SHOWN} FROM mt"]))
 def report_dataset(spark, sf_dir):
     """All lines of the report but the evidence, whose texts m_marker_evidence and the stored markers hold."""
-    return K.report_rows(modelled(spark, sf_dir)).where(F.col("section") != "evidence")
+    return K.report_rows(results(spark, sf_dir).read("analyses")).where(F.col("section") != "evidence")
 
 
 @query("snk_doctype_writeback", f"WITH {TYPE_CTES} SELECT biz.doc_id AS document_id, document_type, document_type <> file_type AS changed FROM biz JOIN typed ON typed.doc_id = biz.doc_id")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Every one of these can be set on a running session.
@@ -36,3 +39,19 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)
+
+
+_own_folder: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share.
+
+    Only where that is unset, as in tests on one machine, below a temporary folder of this process.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        base = _own_folder[0]
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkproof.operators.artifacts import FreshModels, predictions_of
 from inkproof.operators.features import extract_features, feature_vector
+from inkproof.operators.store import AnalysisStore
 from inkproof.plans.scoring import assess, readable
 
 
@@ -27,14 +28,32 @@ def score_stream(documents: DataFrame, output: str, checkpoint: str, as_of: str
     )
 
 
-def score_stream_with_models(documents: DataFrame, models: str, target: str, checkpoint: str, as_of: str | None = None):
-    """The same with the newest saved classifiers: every batch looks whether there are newer ones."""
-    fresh = FreshModels(documents.sparkSession, models)
-
-    def run(batch: DataFrame, _: int) -> None:
-        rows = readable(batch)
+def score_batch(rows: DataFrame, as_of: str | None = None, models: FreshModels | None = None) -> DataFrame:
+    """Analyses of documents (with analysis_id and arrived_at), by the newest saved classifiers if there are any."""
+    rows = readable(rows)
+    predictions = version = None
+    if models is not None and (fitted := models.get()):
         vectors = feature_vector(extract_features(rows)).select("doc_id", F.lit(0).alias("label"), "features")
-        scored = assess(rows, as_of, predictions=predictions_of(fresh.get(), vectors))
-        scored.withColumn("model_version", F.lit(fresh.version)).write.mode("append").parquet(target)
+        predictions, version = predictions_of(fitted, vectors), models.version
+    return assess(rows, as_of, predictions=predictions).withColumnsRenamed(
+        {"doc_id": "document_id", "arrived_at": "created_at", "filename": "original_filename"}).withColumn("model_version", F.lit(version).cast("long"))
+
+
+def score_into_store(
+    arrivals: DataFrame, store: AnalysisStore, checkpoint: str, as_of: str | None = None, late: str = "1 day",
+    models: str | None = None, name: str = "stream",
+):
+    """Scores arriving documents into the stored warehouse.
+
+    arrivals: documents with analysis_id and arrived_at.  A document that arrives again within ``late``
+    is dropped; the watermark ends its state.  Each micro-batch is one batch of the store under its
+    number, so a batch that is played again after a failure changes nothing.  ``models``: a folder of
+    saved classifiers; every batch looks whether there are newer ones.
+    """
+    fresh = FreshModels(arrivals.sparkSession, models) if models else None
+
+    def run(batch: DataFrame, number: int) -> None:
+        store.write(f"{name}-{number}", score_batch(batch, as_of, fresh))
 
-    return documents.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    once = arrivals.withWatermark("arrived_at", late).dropDuplicatesWithinWatermark(["doc_id"])
+    return once.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

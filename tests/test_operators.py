@@ -17,7 +17,8 @@ from inkproof.sources.business import AS_OF, business_documents
 from inkproof.sources import rulebook
 from inkproof.sources.datasets import labelled_dataset, read_csv
 from inkproof.sources.files import decode_files
-from inkproof.streaming.jobs import score_stream, score_stream_with_models
+from inkproof.operators.store import AnalysisStore
+from inkproof.streaming.jobs import score_into_store, score_stream
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -98,19 +99,6 @@ def test_registry_names_and_sql():
     assert sum(1 for e in entries.values() if e.sql) > 110
 
 
-def test_stored_analyses_round_trip(spark):
-    work = tempfile.mkdtemp(prefix="spark-")
-    docs = business_documents(spark, SMALL).limit(30)
-    one = F.expr("array(named_struct('model_name', 'm', 'genuine_probability', 0.25D, 'fake_probability', 0.75D))").cast("array<struct<model_name:string,genuine_probability:double,fake_probability:double>>")
-    wide = assess(docs, AS_OF, predictions=docs.select("doc_id", one.alias("predictions"))).select(
-        F.col("doc_id").alias("analysis_id"), "risk_score", "markers", "predictions")
-    sinks.write_analyses(wide, work)
-    rows = {name: spark.read.parquet(f"{work}/{name}") for name in sinks.TABLES}
-    assert rows["analyses"].count() == 30 == rows["model_predictions"].count()
-    assert rows["markers"].count() == wide.agg(F.sum(F.size("markers"))).first()[0]
-    assert rows["markers"].where("score > 100 or score < 0 or name is null or evidence is null").isEmpty()
-
-
 def test_explanations_are_replaced_and_deleted(spark):
     work = tempfile.mkdtemp(prefix="spark-") + "/explanations"
     rows = spark.createDataFrame([(1, ("a",)), (2, ("b",))], "analysis_id long, explanation struct<summary: string>")
@@ -184,7 +172,14 @@ def test_saved_models_are_picked_up_when_newer(spark):
     assert all(abs(p.genuine_probability + p.fake_probability - 1) < 1e-5 for p in every) and len(every) == 360
     auc = {r.model_name: r.roc_auc for r in roc_auc(predict(models, rows).withColumnRenamed("fake_probability", "score")).collect()}
     assert all(a > 0.5 for a in auc.values())
-    stream = spark.readStream.schema(stored.schema).parquet(f"{work}/in")
-    score_stream_with_models(stream, f"{work}/models", f"{work}/out", f"{work}/checkpoint", AS_OF).awaitTermination()
-    live = spark.read.parquet(f"{work}/out")
+    arrivals = spark.readStream.schema(stored.schema).parquet(f"{work}/in").withColumns(
+        {"analysis_id": F.col("doc_id"), "arrived_at": F.lit(AS_OF).cast("timestamp")})
+    store = AnalysisStore(spark, f"{work}/out")
+    score_into_store(arrivals, store, f"{work}/checkpoint", AS_OF, models=f"{work}/models").awaitTermination()
+    live = store.read("analyses")
     assert live.count() == 120 and live.where("ml_risk_score <> 50").count() > 0 and live.where("model_version <> 2").isEmpty()
+
+
+def test_prediction_without_models_has_no_rows(spark):
+    assert predict({}, spark.createDataFrame([(1, 0)], "doc_id long, label int")).columns == ["doc_id", "label", "model_name", "genuine_probability", "fake_probability"]
+    assert artifacts.FreshModels(spark, tempfile.mkdtemp(prefix="spark-") + "/none").get() == {}
