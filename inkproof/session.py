@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Every one of these can be set on a running session.
 RUNTIME_CONF = {
@@ -55,3 +55,10 @@ def shared_folder(spark: SparkSession) -> str:
             _own_folder.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         base = _own_folder[0]
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: computed once, and not again if an executor is lost."""
+    path = f"{shared_folder(df.sparkSession)}-{label}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
