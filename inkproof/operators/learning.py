@@ -185,58 +185,6 @@ def comparison(metric_rows: DataFrame) -> DataFrame:
     return metric_rows.unpivot("model_name", C.METRIC_NAMES, "metric", "value")
 
 
-def train_models(train: DataFrame, trees: int = 300, rounds: int = 300) -> dict:
-    """Fit the three classifiers on (features, label of 0 or 1), classes weighted to balance.
-
-    The forest grows to the 30 levels that the implementation allows at most.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-    from pyspark.ml.feature import StandardScaler
-
-    counted = train.agg(*[F.count_if(F.col("label") == y).alias(str(y)) for y in (0, 1)]).first()
-    sizes = {y: counted[str(y)] for y in (0, 1) if counted[str(y)]}
-    total = sum(sizes.values())
-    if not total:
-        raise ValueError("training needs at least one row")
-    weight = F.lit(0.0)
-    for value, count in sizes.items():
-        weight = F.when(F.col("label") == value, total / (len(sizes) * count)).otherwise(weight)
-    weighted = train.withColumn("weight", weight)
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=False, withStd=True)
-    common = {"featuresCol": "scaled", "labelCol": "label", "weightCol": "weight"}
-    estimators = {
-        "logistic_regression": LogisticRegression(
-            **common, maxIter=2000, regParam=1 / (0.5 * total), standardization=False),
-        "random_forest": RandomForestClassifier(
-            **common, numTrees=trees, featureSubsetStrategy="sqrt", minInstancesPerNode=2, maxDepth=30, seed=42),
-        "xgboost": GBTClassifier(
-            featuresCol="scaled", labelCol="label", maxIter=rounds, stepSize=0.05, maxDepth=6,
-            subsamplingRate=0.8, featureSubsetStrategy="sqrt", minInstancesPerNode=2, seed=42),
-    }
-    return {name: Pipeline(stages=[scaler, e]).fit(weighted) for name, e in estimators.items()}
-
-
-def predict(models: dict, rows: DataFrame) -> DataFrame:
-    """Long predictions (doc_id, label, model_name, genuine/fake probability); no rows without models."""
-    from functools import reduce
-
-    from pyspark.ml.functions import vector_to_array
-
-    if not models:
-        none = F.lit(None)
-        return rows.limit(0).select("doc_id", "label", none.cast("string").alias("model_name"), *[
-            none.cast("double").alias(f"{c}_probability") for c in ("genuine", "fake")])
-    parts = [
-        model.transform(rows).select(
-            "doc_id", "label", F.lit(name).alias("model_name"),
-            F.round(vector_to_array("probability")[0], 6).alias("genuine_probability"),
-            F.round(vector_to_array("probability")[1], 6).alias("fake_probability"))
-        for name, model in models.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def standard_scale(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Columns divided by their population deviation, not centred; a constant one becomes NULL."""
     spread = rows.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from inkproof.functions import constants as C
 from inkproof.operators.trees import BINS, Binned, Tree, boosted, forest
-from inkproof.operators.vectorize import coordinates
+from inkproof.operators.vectorize import TextVectorizer, TextVectorizerModel, combine, coordinates
 from inkproof.session import materialised
 
 #: Labelled rows that a run learns from at most, chosen by a hash of the id if there are more.
@@ -214,9 +214,13 @@ def side_by_side(run, names: list[str]) -> dict:
     return results
 
 
-def scored(models: Models, rows: DataFrame) -> DataFrame:
-    """(doc_id, label, model_name, genuine and fake probability) for sparse rows, one row for each model."""
+def scored(models: Models | None, rows: DataFrame) -> DataFrame:
+    """(doc_id, label, model_name, genuine and fake probability) for sparse rows, one row for each model; none without models."""
     spark = rows.sparkSession
+    if models is None:
+        none = F.lit(None)
+        return rows.limit(0).select("doc_id", "label", none.cast("string").alias("model_name"), *[
+            none.cast("double").alias(f"{c}_probability") for c in ("genuine", "fake")])
     grown: dict[str, list[Tree]] = {}
     for r in models.trees.orderBy("model", "tree").toLocalIterator():  # as large as the settings and MAX_ROWS allow
         tree = Tree(np.array(r["feature"]), np.array(r["threshold"]), np.array(r["left"]), np.array(r["value"]))
@@ -248,3 +252,46 @@ def scored(models: Models, rows: DataFrame) -> DataFrame:
              pa.array(np.round(1 - fake, 6)), pa.array(fake)], names=["doc_id", "label", "model_name", "genuine_probability", "fake_probability"])
 
     return rows.select("doc_id", "label", "columns", "values").mapInArrow(run, fields)
+
+
+@dataclass
+class Fitted:
+    """A vocabulary with the classifiers that were trained on it: what is saved as one version, and what predicts."""
+
+    vectorizer: TextVectorizerModel
+    models: Models
+
+    def matrix(self, rows: DataFrame) -> DataFrame:
+        """(doc_id, label, columns, values) of rows with doc_id, label, text and the 32 features."""
+        return combine(self.vectorizer.transform(rows), C.FEATURE_NAMES, self.vectorizer.size).select("doc_id", "label", "columns", "values")
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        return scored(self.models, self.matrix(rows))
+
+    def save(self, path: str) -> None:
+        self.vectorizer.save(f"{path}/vectorizer")
+        self.models.save(f"{path}/models")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Fitted:
+        return cls(TextVectorizerModel.load(spark, f"{path}/vectorizer"), Models.load(spark, f"{path}/models"))
+
+
+def fit(
+    rows: DataFrame, stop_words: list[str] | None = None, max_features: int | None = 5000, trees: int = 300, rounds: int = 300, limit: int = MAX_ROWS,
+) -> tuple[Fitted, dict]:
+    """A training run on rows with doc_id, label, text and the 32 features: vocabulary, classifiers and the row about the run."""
+    vectorizer = TextVectorizer(max_features, stop_words=stop_words).fit(rows)
+    matrix = combine(vectorizer.transform(rows), C.FEATURE_NAMES, vectorizer.size)
+    run = train(matrix, vectorizer.size + len(C.FEATURE_NAMES), trees, rounds, limit)
+    return Fitted(vectorizer, run.models), run.summary
+
+
+def run_row(spark: SparkSession, run_id: str, summary: dict, testing_samples: int) -> DataFrame:
+    """The run as a table row."""
+    names = summary["model_names"]
+    values = (run_id, summary["training_samples"], testing_samples, summary["genuine"], summary["fake"], summary["feature_count"],
+              ", ".join(names), summary["warning"], [summary["training_seconds"][n] for n in names], summary["total_seconds"])
+    return spark.createDataFrame([values], (
+        "run_id string, training_samples long, testing_samples long, genuine long, fake long, feature_count int, models string, warning string, "
+        "training_seconds array<double>, total_seconds double"))

@@ -88,13 +88,24 @@ def _register_all() -> None:
 _register_all()
 
 
-@query("f_repeated_phrase_count", f"""
-SELECT d.doc_id, CAST(coalesce(n, 0) AS DOUBLE) AS repeated_phrase_count FROM documents d LEFT JOIN (
-SELECT doc_id, count(*) AS n FROM (
+def phrases_sql(source: str) -> str:
+    """(doc_id, phrases) of the texts of a source that repeat a phrase of three words."""
+    return f"""SELECT doc_id, count(*) AS phrases FROM (
 SELECT doc_id, g FROM (SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (
 SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM (
-SELECT doc_id, regexp_extract_all(lower(text), '[^{O.WS}]+') AS w FROM documents) a) b) c
-GROUP BY 1, 2 HAVING count(*) > 1) e GROUP BY 1) f ON f.doc_id = d.doc_id""")
+SELECT doc_id, regexp_extract_all(lower(text), '[^{O.WS}]+') AS w FROM {source} s) a) b) c
+GROUP BY 1, 2 HAVING count(*) > 1) e GROUP BY 1"""
+
+
+_JOINED = {"repeated_phrase_count": "coalesce(phrases, 0)", "total_inconsistencies": "0", "id_inconsistencies": "0"}
+#: All 32 features in their order, of rendered documents and of bare prose.
+VECTOR_SQL = {n: ({"table_count": "table_count"} | _JOINED | BUSINESS_SQL | {k: v for k, v in TEXT_SQL.items() if k != "table_count"})[n] for n in C.FEATURE_NAMES}
+_WITHOUT = {n: "0" for n in BUSINESS_SQL} | {"page_count": "1", "ocr_confidence": "1"}
+PROSE_SQL = {n: (_WITHOUT | {k: BUSINESS_SQL[k] for k in ("monetary_values_count", "date_count")} | _JOINED | TEXT_SQL)[n] for n in C.FEATURE_NAMES}
+
+
+@query("f_repeated_phrase_count", f"""SELECT d.doc_id, CAST(coalesce(phrases, 0) AS DOUBLE) AS repeated_phrase_count
+FROM documents d LEFT JOIN ({phrases_sql('documents')}) f ON f.doc_id = d.doc_id""")
 def repeated_phrase_count(spark, sf_dir):
     df = prose_documents(spark, sf_dir)
     return df.select("doc_id", X.repeated_phrase_count(F.col("text")).alias("repeated_phrase_count"))
@@ -119,13 +130,15 @@ register("f_id_inconsistencies", _folded("id_inconsistencies"),
          _folded_sql("category = 'id_reference'", "id_inconsistencies"))
 
 
-@query("f_feature_vector")
+@query("f_feature_vector", f"WITH {O.BIZ} SELECT doc_id, " + ", ".join(f"round(CAST({e} AS DOUBLE), 6) AS {n}" for n, e in VECTOR_SQL.items())
+       + f" FROM biz LEFT JOIN ({phrases_sql('biz')}) ph USING (doc_id)")
 def feature_vector(spark, sf_dir):
-    """The ordered 32-vector of every rendered document, as an array for display."""
+    """The ordered 32-vector of every rendered document, a column for each place."""
     from pyspark.ml.functions import vector_to_array
 
     df = X.feature_vector(X.extract_features(business_documents(spark, sf_dir)))
-    return df.select("doc_id", vector_to_array("features").alias("features"))
+    values = df.select("doc_id", vector_to_array("features").alias("v"))
+    return values.select("doc_id", *[F.round(F.get("v", F.lit(i)), 6).alias(n) for i, n in enumerate(C.FEATURE_NAMES)])
 
 
 @query("f_entity_extract", f"""WITH {O.BIZ}, e AS (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkproof.operators.artifacts import FreshModels, predictions_of
-from inkproof.operators.features import extract_features, feature_vector
+from inkproof.operators.features import extract_features
 from inkproof.operators.store import AnalysisStore
 from inkproof.plans.scoring import assess, readable
 
@@ -33,8 +33,7 @@ def score_batch(rows: DataFrame, as_of: str | None = None, models: FreshModels |
     rows = readable(rows)
     predictions = version = None
     if models is not None and (fitted := models.get()):
-        vectors = feature_vector(extract_features(rows)).select("doc_id", F.lit(0).alias("label"), "features")
-        predictions, version = predictions_of(fitted, vectors), models.version
+        predictions, version = predictions_of(fitted, extract_features(rows).withColumn("label", F.lit(0))), models.version
     return assess(rows, as_of, predictions=predictions).withColumnsRenamed(
         {"doc_id": "document_id", "arrived_at": "created_at", "filename": "original_filename"}).withColumn("model_version", F.lit(version).cast("long"))
 

@@ -1,15 +1,15 @@
 """Operators whose results SQL cannot give, against brute force; and streams against batch."""
 
-import inspect
 import tempfile
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
 from inkproof.operators.compare import similar_pairs
-from inkproof.operators import artifacts, sinks
-from inkproof.operators.features import extract_features, feature_vector
-from inkproof.operators.learning import predict, rejected_labels, roc_auc, roc_curve, stratified_split, train_models
+from inkproof.functions.constants import FEATURE_NAMES
+from inkproof.operators import artifacts, sinks, training
+from inkproof.operators.features import extract_features
+from inkproof.operators.learning import rejected_labels, roc_auc, roc_curve, stratified_split
 from inkproof.plans import registry
 from inkproof.plans.catalog import learning
 from inkproof.plans.scoring import assess
@@ -144,34 +144,38 @@ def test_roc_curve_of_one_class_is_empty(spark):
 
 
 def test_training_query_has_the_full_settings(spark, monkeypatch):
-    asked = []
+    asked, whole = [], training.train
 
-    def fewer(train, **given):
-        asked.append({k: p.default for k, p in inspect.signature(train_models).parameters.items() if k != "train"} | given)
-        return train_models(train, trees=2, rounds=2)
+    def fewer(rows, width, trees=300, rounds=300, limit=training.MAX_ROWS):
+        asked.append((trees, rounds))
+        return whole(rows, width, 2, 2, limit)
 
-    monkeypatch.setattr(learning.L, "train_models", fewer)
+    monkeypatch.setattr(training, "train", fewer)
+    monkeypatch.setattr(learning, "_runs", {})
     out = learning.train_and_predict(spark, SMALL)
-    assert asked == [{"trees": 300, "rounds": 300}]
+    assert asked == [(300, 300)]
     assert {r.model_name for r in out.select("model_name").distinct().collect()} == {"logistic_regression", "random_forest", "xgboost"}
+    assert learning.training_run(spark, SMALL).first().timed and learning.batch_predict(spark, SMALL).where("not sums_to_one").isEmpty()
+    assert learning.model_artifacts(spark, SMALL).where("not same").isEmpty()
 
 
 def test_saved_models_are_picked_up_when_newer(spark):
     work = tempfile.mkdtemp(prefix="spark-")
-    docs = business_documents(spark, SMALL).limit(120)
-    docs.write.parquet(f"{work}/in")
+    business_documents(spark, SMALL).where("doc_id <= 480").limit(120).write.parquet(f"{work}/in")
     stored = spark.read.parquet(f"{work}/in")
-    rows = feature_vector(extract_features(stored)).select("doc_id", "label", "features")
-    models = train_models(rows, trees=3, rounds=2)
-    assert artifacts.latest_version(spark, f"{work}/models") is None
-    artifacts.save_models(spark, models, f"{work}/models", 1)
+    extract_features(stored).select("doc_id", "label", "text", *FEATURE_NAMES).write.parquet(f"{work}/rows")
+    rows = spark.read.parquet(f"{work}/rows")
+    fitted, summary = training.fit(rows, max_features=300, trees=6, rounds=4)
+    assert artifacts.latest_version(spark, f"{work}/models") is None and artifacts.FreshModels(spark, f"{work}/models").get() is None
+    artifacts.save_models(spark, fitted, f"{work}/models", 1)
     fresh = artifacts.FreshModels(spark, f"{work}/models")
-    artifacts.save_models(spark, {"random_forest": models["random_forest"]}, f"{work}/models", 2)
-    assert fresh.version == 1 and set(fresh.get()) == {"random_forest"} and fresh.version == 2
-    every = predict(models, rows).collect()
+    artifacts.save_models(spark, fitted, f"{work}/models", 2)
+    assert fresh.version == 1 and fresh.get() and fresh.version == 2
+    every = fresh.get().predict(rows).collect()
     assert all(abs(p.genuine_probability + p.fake_probability - 1) < 1e-5 for p in every) and len(every) == 360
-    auc = {r.model_name: r.roc_auc for r in roc_auc(predict(models, rows).withColumnRenamed("fake_probability", "score")).collect()}
-    assert all(a > 0.5 for a in auc.values())
+    assert {tuple(r) for r in every} == {tuple(r) for r in fitted.predict(rows).collect()}
+    auc = {r.model_name: r.roc_auc for r in roc_auc(fitted.predict(rows).withColumnRenamed("fake_probability", "score")).collect()}
+    assert all(a > 0.6 for a in auc.values()) and summary["warning"] is None
     arrivals = spark.readStream.schema(stored.schema).parquet(f"{work}/in").withColumns(
         {"analysis_id": F.col("doc_id"), "arrived_at": F.lit(AS_OF).cast("timestamp")})
     store = AnalysisStore(spark, f"{work}/out")
@@ -180,6 +184,7 @@ def test_saved_models_are_picked_up_when_newer(spark):
     assert live.count() == 120 and live.where("ml_risk_score <> 50").count() > 0 and live.where("model_version <> 2").isEmpty()
 
 
-def test_prediction_without_models_has_no_rows(spark):
-    assert predict({}, spark.createDataFrame([(1, 0)], "doc_id long, label int")).columns == ["doc_id", "label", "model_name", "genuine_probability", "fake_probability"]
-    assert artifacts.FreshModels(spark, tempfile.mkdtemp(prefix="spark-") + "/none").get() == {}
+def test_no_models_means_no_rows(spark):
+    rows = spark.createDataFrame([(1, 0, [0], [1.0])], "doc_id long, label int, columns array<long>, values array<double>")
+    assert training.scored(None, rows).isEmpty()
+    assert training.scored(None, rows).columns == ["doc_id", "label", "model_name", "genuine_probability", "fake_probability"]
