@@ -79,16 +79,23 @@ def mix(
     return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores behind it while it is taken (letter case does not tell names apart)."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def emit(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with the number of the copy.
+    """The rows of docs as often as the mix takes them, with the number of the copy in a last column `copy`.
 
-    Rows that share an id are taken equally often.
+    Rows that share an id are taken equally often. All columns of docs stay as they are: if there is one
+    called `copy`, the number's name gets underscores behind it.
     """
-    taken = mix(docs, **settings).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies")).filter("copies > 0")
-    return (
-        docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id"])).drop("taken_id")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
-    )
+    own, times, number = (free_name(n, docs.columns) for n in ("taken_id", "copies", "copy"))
+    taken = mix(docs.select("doc_id", "source", "text"), **settings).groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").alias(times)).filter(F.col(times) > 0)
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(own)))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(number))
 
 
 SQL = f"""

@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine, block-max inverted index, weighted votes.
 
 Terms are words and word beginnings (inflected forms share those) that labelled toxic texts have
-more often than chance allows. Each text becomes a short vector of such terms; the texts are read
+more often than chance allows among so many candidates; equal texts count once. Each text becomes a short vector of such terms; the texts are read
 once for the labelled statistics and once for the vectors. The labelled examples form an inverted
 index in blocks with the largest weight of each term in a block, so that blocks which cannot reach
 the nearest ones so far are skipped without changing the result.
@@ -23,9 +23,9 @@ from inkproof.llm.textbatch import ALNUM, Words, chunks
 MAX_LABELLED, MAX_TERMS, MAX_EXAMPLES = 100_000, 20_000, 4_000
 PREFIXES = (4, 5, 6)
 NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 64, 2
-#: Standard deviations that a term's toxic count lies above chance, least toxic texts, least ratio of the odds to those of all.
-#: A few copies of one toxic text, or chance among a million terms, must not make a term.
-SIGNIFICANT, LEAST_TEXTS, LEAST_ODDS = 7.0, 8, 10.0
+#: Chance may make so many terms in all, and the least ratio of a term's odds to those of all.
+#: Equal texts count once, so that copies of one toxic text cannot make a term.
+BY_CHANCE, LEAST_ODDS = 30.0, 10.0
 #: Share assumed for one imaginary row where no labelled row says anything.
 PRIOR = 0.05
 
@@ -226,16 +226,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold: Column | None = Non
     known = labelled(labels, "toxic", F.lit(True) if fold is None else fold, MAX_LABELLED)
     kind = dict(docs.dtypes)["doc_id"]
     own = docs.select("doc_id", "text").join(known, "doc_id")
-    rows, toxic = known.agg(F.count(F.lit(1)), F.sum("label")).first()
-    share = (toxic or 0) / rows if rows else 0.0
-    counted = own.select("text", F.col("label").cast("double").alias("label")).mapInArrow(_label_counts, "term long, toxic long, texts long")
-    chance = F.col("texts") * share
+    own = stored(own.groupBy("text").agg(F.max("label").cast("double").alias("label")), "labelled")
+    rows, toxic = own.agg(F.count(F.lit(1)), F.sum("label")).first()
+    share = min(max((toxic or 0.0) / rows if rows else 0.0, 1e-9), 1 - 1e-9)
+    counted = stored(
+        own.mapInArrow(_label_counts, "term long, toxic long, texts long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts")), "counts")
+    candidates = counted.count()
+    # the chance that so many of a term's texts are toxic is at most exp(-texts * divergence)
+    part = F.col("toxic") / F.col("texts")
+    divergence = part * F.log(part / share) + F.when(part < 1, (1 - part) * F.log((1 - part) / (1 - share))).otherwise(0.0)
+    surprise = F.col("texts") * divergence
     odds = F.col("toxic") * (1 - share) / (share * (F.col("texts") - F.col("toxic")) + 1e-9)
-    lift = (F.col("toxic") - chance) / F.sqrt(chance * (1 - share) + 1e-9)
     chosen = (
-        counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts"))
-        .filter((F.col("toxic") >= LEAST_TEXTS) & (lift >= SIGNIFICANT) & (odds >= LEAST_ODDS))
-        .orderBy(lift.desc(), "term").limit(MAX_TERMS).select("term").collect()
+        counted.filter((F.col("toxic") > 0) & (odds >= LEAST_ODDS)).filter(surprise >= math.log(max(candidates, 1) / BY_CHANCE))
+        .orderBy(surprise.desc(), "term").limit(MAX_TERMS).select("term").collect()
     )
     vocabulary = np.sort(np.array([r.term for r in chosen], np.int64).view(np.uint64))
     vectors = stored(

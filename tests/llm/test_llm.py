@@ -193,6 +193,10 @@ def test_mix(spark):
         assert all(abs(r.target - target[s]) < 1e-6 and r.source_size == size[s] for r in per[s])
         assert abs(sum(r.taken for r in per[s]) - target[s]) <= 2 * max(r.size for r in per[s])
     emitted = mix_weights.emit(documents(spark, rows)).groupBy("doc_id").count().collect()
+    odd = documents(spark, rows).withColumns({"copies": F.lit("a"), "copy": F.lit("b"), "taken_id": F.lit("c")})
+    again = mix_weights.emit(odd)
+    assert again.columns == [*odd.columns, "copy_"] and again.filter("copies <> 'a' or copy <> 'b' or taken_id <> 'c'").isEmpty()
+    assert {r.doc_id: r["count"] for r in again.groupBy("doc_id").count().collect()} == {r.doc_id: r["count"] for r in emitted}
     assert {r.doc_id: r["count"] for r in emitted if r.doc_id is not None and r.doc_id < 90} == {r.doc_id: r.copies for r in got if r.copies and r.doc_id is not None and r.doc_id < 90}
     assert mix_weights.mix(documents(spark, []).limit(0)).count() == 0
 
