@@ -187,8 +187,8 @@ MIXED, CONTENT, DROPPED = 0, 1, 2
 BELOW = {MIXED: (MIXED, CONTENT, DROPPED), CONTENT: (CONTENT, DROPPED), DROPPED: (DROPPED,)}
 
 
-def decode(page: Page, content: np.ndarray, mixed: np.ndarray, prior: np.ndarray, move: np.ndarray) -> list[bool]:
-    """Most likely states of all nodes that do not contradict each other: is the node main content?
+def decode(page: Page, content: np.ndarray, mixed: np.ndarray, prior: np.ndarray, move: np.ndarray) -> list[int]:
+    """Most likely states of all nodes that do not contradict each other.
 
     Below a mixed node anything goes, below content only content or dropped, below dropped only
     dropped. content: log odds of being content rather than dropped; mixed: of being mixed; prior: log
@@ -209,4 +209,21 @@ def decode(page: Page, content: np.ndarray, mixed: np.ndarray, prior: np.ndarray
     for i in range(1, n):
         above, own = state[page.parent[i]], table[i]
         state[i] = max(BELOW[above], key=lambda s: step[above][s] + own[s])
-    return [s == CONTENT for s in state]
+    return state
+
+
+#: Elements that only hold the page, and such as only hold running text.
+FRAME = ("#root", "html", "body")
+RUNNING = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre")
+
+
+def main_text(page: Page, states: list[int]) -> str:
+    """The text of the content nodes.
+
+    Of a page without any: what stands directly in its frame or in mixed nodes, and the running text right below those.
+    """
+    text = page.text([s == CONTENT for s in states])
+    if text:
+        return text
+    bare = [s == MIXED or t in FRAME for s, t in zip(states, page.tag, strict=True)]
+    return page.text([b or t in RUNNING and bare[up] for b, t, up in zip(bare, page.tag, page.parent, strict=True)])

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from inkproof.llm import html_samples
 from inkproof.llm.boosting import BoostedTrees
-from inkproof.llm.dom import Page, decode
+from inkproof.llm.dom import Page, decode, main_text
 
 TRAINING_PAGES, LEAST_PAGES = 500, 3
 
@@ -45,7 +45,7 @@ class Extractor:
         out, at = [], 0
         for p in pages:
             to = at + len(p.tag)
-            out.append(p.text(decode(p, content[at:to], mixed[at:to], self.prior, self.move)))
+            out.append(main_text(p, decode(p, content[at:to], mixed[at:to], self.prior, self.move)))
             at = to
         return out
 
@@ -80,8 +80,8 @@ def _extract(extractor: Extractor):
 def main_texts(pages: DataFrame, extractor: Extractor | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) for every row of pages (page_id, url, html).
 
-    Null and empty pages have an empty text. Text outside of any element belongs to no node and is left
-    out, unless the page has no block element at all, when nothing can be told apart: then it is empty too.
+    Null and empty pages have an empty text. On a page where no element is main content, the text that
+    stands directly in the page or in an element of mixed content is.
     """
     kinds = dict(pages.dtypes)
     run = _extract(extractor or default_extractor())

@@ -378,3 +378,5 @@ def test_html_texts(spark, extractor):
     assert next(r.text for r in out if r.page_id == 1) == "A & B\nFirst line here, with <tags> and some more words. next\nSecond one, which has a few words too."
     assert all(r.text == "" and r.n_chars == 0 for r in out if r.page_id != 1)
     assert main_texts(pages.limit(0), extractor).count() == 0
+    bare = ["<html><body>Bare text of a page</body></html>", "just &amp; text", "<body>a<p>b  c</p>d<nav><a href=x>menu</a></nav><script>no</script></body>"]
+    assert extractor.texts(bare) == ["Bare text of a page", "just & text", "a\nb c\nd"]
