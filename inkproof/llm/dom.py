@@ -23,6 +23,7 @@ CLOSES = {
 SCOPE = frozenset("ul ol dl table div section article main body html select nav aside".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TORN = re.compile(r"</?[a-zA-Z][^<>]*\Z")
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 READ = ("class", "id", "role", "itemprop", "data-y")
@@ -45,6 +46,8 @@ class Page:
         while at < size:
             m = TOKEN.search(source, at)
             end = m.start() if m else size
+            if not m and (torn := TORN.search(source, at)):  # a tag that the page's end cuts off is no text
+                end = torn.start()
             if end > at:
                 self.pieces.append((stack[-1], block, source[at:end], links > 0))
             if not m:
