@@ -12,7 +12,9 @@ from inkproof.session import local_session
 
 HEADLINE = [
     "f_word_count", "f_repeated_phrase_count", "m_repeated_sentences_prose",
-    "m_detect_all_prose", "t_doctype_counts", "r_decision", "w_risk_bands", "w_decision_distribution",
+    "m_detect_all_prose", "t_doctype_counts", "r_decision",
+    # the first query on the stored warehouse scores the corpus and writes it, the next two read it
+    "w_dashboard_totals", "w_risk_bands", "w_decision_distribution",
     "c_token_jaccard", "ml_tfidf_vectorize", "ml_roc_auc",
     "ml_stratified_split", "l_font_variance", "st_scan_volume_window", "c_corpus_pair_join",
 ]

@@ -47,6 +47,18 @@ def document_stats(pages: DataFrame) -> DataFrame:
     )
 
 
+def joined_text(pages: DataFrame, bucket: int = 64) -> DataFrame:
+    """(doc_id, text): the texts of a document's pages in order, two line feeds between them; NULL texts count as empty.
+
+    Pages are put together in buckets of numbers first, then the buckets, so a document of very many
+    pages is joined by several tasks, and none sorts all of its pages.  Pages of one number come in order of their texts.
+    """
+    page = F.struct("page_no", F.coalesce("text", F.lit("")).alias("text"))
+    parts = pages.groupBy("doc_id", F.floor(F.col("page_no") / bucket).alias("part")).agg(F.sort_array(F.collect_list(page)).alias("p"))
+    parts = parts.select("doc_id", F.struct("part", F.array_join("p.text", "\n\n").alias("text")).alias("part"))
+    return parts.groupBy("doc_id").agg(F.sort_array(F.collect_list("part")).alias("p")).select("doc_id", F.array_join("p.text", "\n\n").alias("text"))
+
+
 def metadata_available(metadata: Column) -> Column:
     """Whether any metadata value says something."""
     return F.exists(F.map_values(metadata), lambda v: (F.length(strip(v)) > 0) & (v != "0"))

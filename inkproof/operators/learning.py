@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkproof.functions import constants as C
 from inkproof.functions import text as T
+from inkproof.session import materialised
 
 
 def clean_text(text: Column) -> Column:
@@ -90,9 +91,10 @@ def tfidf(docs: DataFrame, stop_words: list[str], max_features: int | None = Non
     """Sublinear tf, smoothed idf, unit length.
 
     The vocabulary is joined, so it may grow with the corpus; ``max_features`` keeps the most
-    used terms only, if the caller wants that.
+    used terms only, if the caller wants that.  The terms are counted once and stored, as both
+    the vocabulary and the weights read them.
     """
-    counts = term_counts(docs, stop_words)
+    counts = materialised(term_counts(docs, stop_words), "counts")
     total = docs.count()
     used = (
         counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("uses"))

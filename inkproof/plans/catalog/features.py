@@ -196,7 +196,21 @@ SELECT l_orderkey AS doc_id, count(*) AS pages, CAST(sum(CASE WHEN l_linenumber
        """ + O.half_up("coalesce(sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity / 50 AS DECIMAL(12,6)) END) / nullif(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END), 0), 0)") + """ AS ocr_confidence
 FROM lineitem GROUP BY 1""")
 def document_stats_rollup(spark, sf_dir):
-    pages = table(spark, sf_dir, "lineitem").select(
+    return layout.document_stats(line_pages(spark, sf_dir))
+
+
+_PAGE_TEXT = "CASE WHEN l_linenumber % 4 = 0 THEN '  ' ELSE concat('Line ', CAST(l_partkey AS VARCHAR), ' shipped') END"
+
+
+@query("l_document_text", f"SELECT l_orderkey AS doc_id, md5(string_agg({_PAGE_TEXT}, chr(10) || chr(10) ORDER BY l_linenumber, {_PAGE_TEXT})) AS text_hash FROM lineitem GROUP BY 1")
+def document_text(spark, sf_dir):
+    """The joined text of every document's pages, by its hash."""
+    return layout.joined_text(line_pages(spark, sf_dir), bucket=2).select("doc_id", F.md5("text").alias("text_hash"))
+
+
+def line_pages(spark, sf_dir):
+    """A page for each line item."""
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("doc_id"),
         F.col("l_linenumber").alias("page_no"),
         F.when(F.col("l_linenumber") % 4 == 0, F.lit("  ")).otherwise(
@@ -204,7 +218,6 @@ def document_stats_rollup(spark, sf_dir):
         (F.col("l_returnflag") == "R").alias("ocr_used"),
         (F.col("l_quantity") / 50).alias("ocr_confidence"),
     )
-    return layout.document_stats(pages)
 
 
 @query("l_metadata_available", f"""WITH {O.BIZ}

@@ -194,12 +194,14 @@ p AS (SELECT doc_id, sum(coalesce(f, 0) ORDER BY m) / count(*) * 100 AS ml FROM
 r AS (SELECT biz.doc_id, coalesce(ml, 0) AS ml, coalesce(m, 0) AS m, coalesce(s, 0) AS s, coalesce(c, 0) AS c,
       least(100e0, 0.5e0 * coalesce(ml, 0) + 0.35e0 * coalesce(m, 0) + 0.15e0 * coalesce(s, 0)) AS raw
       FROM biz LEFT JOIN a ON a.doc_id = biz.doc_id LEFT JOIN p ON p.doc_id = biz.doc_id)
-SELECT doc_id, {O.half_up("raw")} AS risk_score, {O.half_up("ml")} AS ml_risk_score, {O.half_up("m")} AS marker_risk_score,
-       {O.half_up("s")} AS structural_risk_score, {O.half_up("c")} AS consistency_risk_score FROM r""")
+SELECT *, CASE WHEN risk_score < 30 THEN 'original' WHEN risk_score < 60 THEN 'suspicious' ELSE 'forged' END AS decision,
+       {O.half_up("least(1e0, greatest(0.5e0, 1e0 - abs(risk_score - 50e0) / 50e0))")} AS confidence
+FROM (SELECT doc_id, {O.half_up("raw")} AS risk_score, {O.half_up("ml")} AS ml_risk_score, {O.half_up("m")} AS marker_risk_score,
+       {O.half_up("s")} AS structural_risk_score, {O.half_up("c")} AS consistency_risk_score FROM r) x""")
 def fallback_risk(spark, sf_dir):
     df = detect_markers(business_documents(spark, sf_dir), AS_OF)
     fallback = risk.fallback_risk(predictions(F.col("doc_id")), F.col("markers"))
-    names = ["risk_score", "ml_risk_score", "marker_risk_score", "structural_risk_score", "consistency_risk_score"]
+    names = ["risk_score", "decision", "confidence", "ml_risk_score", "marker_risk_score", "structural_risk_score", "consistency_risk_score"]
     return df.select("doc_id", fallback.alias("r")).select("doc_id", *[F.col(f"r.{n}") for n in names])
 
 
