@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkproof.functions import constants as C
 from inkproof.functions import text as T
+from inkproof.session import per_session
 
 
 def category_score(low: Column, category: str) -> Column:
@@ -60,7 +59,7 @@ def ranked_scores(scores: Column, hint: Column) -> Column:
     return F.array_sort(tagged)
 
 
-@lru_cache
+@per_session
 def type_column(filename_col: str | None) -> Column:
     """struct(type, score, margin) of the winning category."""
     text = F.col("text")

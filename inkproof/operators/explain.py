@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from inkproof.functions.text import clamp, let, percent_text, value_counts
 from inkproof.operators.risk import (
     PREDICTION_TYPE, fake_probability, literal_map, mean, normalised_score, severity_weight,
 )
+from inkproof.session import per_session
 
 
 def safe_score(score: Column) -> Column:
@@ -236,7 +235,7 @@ def summary(score: Column, decision: Column, factors: Column, markers_text: Colu
     return let(pushing, paragraph)
 
 
-@lru_cache
+@per_session
 def explanation_column(has_predictions: bool) -> Column:
     """summary, top_factors, marker_summary and ml_summary as one struct."""
     p = F.col("predictions") if has_predictions else F.array().cast(PREDICTION_TYPE)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkproof.functions import constants as C
 from inkproof.functions import text as T
+from inkproof.session import per_session
 
 
 def stats_fields(df: DataFrame) -> tuple[str, ...]:
@@ -152,7 +151,7 @@ def table_count(fields: tuple[str, ...], text: Column) -> Column:
     return F.when((given == 0) & (bars > 5), F.lit(1.0)).otherwise(given)
 
 
-@lru_cache
+@per_session
 def feature_columns(fields: tuple[str, ...], text_col: str = "text") -> dict[str, Column]:
     """The 32 features as columns; built once, since they do not depend on the data."""
     text = F.col(text_col)

@@ -6,8 +6,6 @@ without a shuffle, whatever the size of a document or the number of its copies.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +18,7 @@ from inkproof.operators.markers.numerical import numerical_rules
 from inkproof.operators.markers.structural import structural_rules
 from inkproof.operators.markers.textual import textual_rules
 from inkproof.operators.markers.visual import visual_rules
+from inkproof.session import per_session
 
 SEVERITY_ORDER = ("high", "medium", "low")
 
@@ -37,7 +36,7 @@ def int_stat(fields: tuple[str, ...], name: str) -> Column:
     return F.col("stats")[name].cast("int") if name in fields else F.lit(None).cast("int")
 
 
-@lru_cache
+@per_session
 def family_columns(fields: tuple[str, ...], as_of: str | None = None) -> dict[str, Column]:
     """The seven rule families in the order they are reported.
 

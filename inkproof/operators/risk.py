@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkproof.functions import constants as C
 from inkproof.functions.text import clamp, let
+from inkproof.session import per_session
 
 PREDICTION_TYPE = (
     "array<struct<model_name:string,genuine_probability:double,fake_probability:double>>"
@@ -275,7 +275,7 @@ RISK_COLUMNS = (
 )
 
 
-@lru_cache
+@per_session
 def risk_column(fields: tuple[str, ...], columns: frozenset[str], thresholds: Thresholds) -> Column:
     """All risk outputs as one struct; marker and prediction arrays are bound once."""
     p = F.col("predictions") if "predictions" in columns else F.array().cast(PREDICTION_TYPE)

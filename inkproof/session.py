@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 # Every one of these can be set on a running session.
@@ -62,3 +64,23 @@ def materialised(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}-{label}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def per_session(build):
+    """Keeps what a function of hashable arguments returns, for the running application only: columns belong to one."""
+    kept: dict = {}
+    application = None
+
+    @wraps(build)
+    def found(*args, **named):
+        nonlocal application
+        now = SparkContext.getOrCreate().applicationId
+        if now != application:
+            kept.clear()
+            application = now
+        key = args, tuple(sorted(named.items()))
+        if key not in kept:
+            kept[key] = build(*args, **named)
+        return kept[key]
+
+    return found
