@@ -8,16 +8,19 @@ from inkproof.functions import constants as C
 from inkproof.operators import learning as L
 from inkproof.operators import sinks as K
 from inkproof.operators.doctype import classify
+from inkproof.operators.explain import marker_summary
 from inkproof.operators.features import word_count
+from inkproof.operators.markers import detect_markers
 from inkproof.operators.risk import normalise_prediction
 from inkproof.plans import oracle as O
 from inkproof.plans.catalog.features import WORD_N
 from inkproof.plans.catalog.learning import _M, PRED as SCORED, _AUC, _COLS, all_metrics, scored_labels
-from inkproof.plans.catalog.scoring import _ML, FAKE, PRED, TYPE_CTES, predictions
+from inkproof.plans.catalog.scoring import _ML, _MS, FAKE, PRED, TYPE_CTES, predictions
 from inkproof.plans.catalog.warehouse import AN, MT, RISK, by_score, documents, runs
 from inkproof.plans.registry import query
 from inkproof.plans.scoring import assess
 from inkproof.plans.stored import stored
+from inkproof.session import materialised, shared_folder
 from inkproof.sources import datasets, files, rulebook
 from inkproof.sources.business import AS_OF, business_documents
 from inkproof.sources.tables import table
@@ -105,6 +108,22 @@ def report_dataset(spark, sf_dir):
     return K.report_rows(results(spark, sf_dir).read("analyses")).where(F.col("section") != "evidence")
 
 
+@query("snk_explanations", f"""WITH {O.marker_ctes()}, {_MS} SELECT ms.doc_id AS analysis_id, CASE WHEN file_type = 'pdf' THEN 'Reviewed. ' ELSE '' END || marker_summary AS marker_summary
+FROM ms JOIN biz ON biz.doc_id = ms.doc_id WHERE marker_summary <> {O.q(C.NO_MARKERS_TEXT)}""")
+def stored_explanations(spark, sf_dir):
+    """Explanations that were stored, replaced for one type of file, and deleted where they say nothing."""
+    docs = detect_markers(business_documents(spark, sf_dir), AS_OF)
+    rows = docs.select(F.col("doc_id").alias("analysis_id"), "file_type", marker_summary(F.col("markers")).alias("marker_summary"))
+    rows = materialised(rows, "explanations")
+    told = lambda c: F.struct(c.alias("marker_summary")).alias("explanation")
+    target = f"{shared_folder(spark)}-explanations"
+    K.write_explanations(rows.select("analysis_id", told(F.col("marker_summary"))), target, 1)
+    reviewed = rows.where(F.col("file_type") == "pdf").select("analysis_id", told(F.concat(F.lit("Reviewed. "), F.col("marker_summary"))))
+    K.write_explanations(reviewed, target, 2)
+    K.delete_explanations(rows.where(F.col("marker_summary") == C.NO_MARKERS_TEXT), target, 3)
+    return K.read_explanations(spark, target, "struct<marker_summary: string>").select("analysis_id", "explanation.marker_summary")
+
+
 @query("snk_doctype_writeback", f"WITH {TYPE_CTES} SELECT biz.doc_id AS document_id, document_type, document_type <> file_type AS changed FROM biz JOIN typed ON typed.doc_id = biz.doc_id")
 def doctype_writeback(spark, sf_dir):
     """Documents are registered under their file type; the detected type takes its place."""
