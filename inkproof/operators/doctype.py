@@ -10,11 +10,15 @@ from inkproof.functions import text as T
 from inkproof.session import per_session
 
 
-def category_score(low: Column, category: str) -> Column:
+#: The words that the patterns of all categories lead with.
+HEADS = sorted({h for rules in C.DOCTYPE_RULES.values() for _, regex in rules for h in T.leading_words(regex)})
+
+
+def category_score(low: Column, begun: Column, category: str) -> Column:
     """Weighted hits in lower-cased text; repeats add a quarter of the weight each, three repeats at most."""
     total, boost = F.lit(0.0), F.array(*[F.lit(b) for b in (0.0, 1.0, 1.25, 1.5, 1.75)])
     for weight, regex in C.DOCTYPE_RULES[category]:
-        hits = T.count_guarded(low, regex)
+        hits = T.count_guarded(low, begun, HEADS, regex)
         total = total + weight * F.get(boost, F.least(hits, F.lit(4)))
     return F.round(total, 2)
 
@@ -31,16 +35,17 @@ def score_array(text: Column, filename: Column | None) -> Column:
     """``array<struct<category, score>>`` with the file-name bonus, rule order, hits only."""
     hint = filename_hint(filename) if filename is not None else F.lit(None).cast("string")
 
-    def scored(low: Column, category: str) -> Column:
+    def scored(low: Column, begun: Column, category: str) -> Column:
         bonus = F.when(hint == category, F.lit(C.FILENAME_HINT_BONUS)).otherwise(F.lit(0.0))
         return F.struct(
             F.lit(category).alias("category"),
-            (category_score(low, category) + bonus).alias("score"),
+            (category_score(low, begun, category) + bonus).alias("score"),
         )
 
     return T.let(
         F.lower(text),
-        lambda low: F.filter(F.array(*[scored(low, c) for c in C.DOCTYPE_RULES]), lambda s: s["score"] > 0),
+        lambda low: T.let(T.begun_words(low, HEADS), lambda begun: F.filter(
+            F.array(*[scored(low, begun, c) for c in C.DOCTYPE_RULES]), lambda s: s["score"] > 0)),
     )
 
 
