@@ -18,8 +18,7 @@ def category_score(low: Column, begun: Column, category: str) -> Column:
     """Weighted hits in lower-cased text; repeats add a quarter of the weight each, three repeats at most."""
     total, boost = F.lit(0.0), F.array(*[F.lit(b) for b in (0.0, 1.0, 1.25, 1.5, 1.75)])
     for weight, regex in C.DOCTYPE_RULES[category]:
-        hits = T.count_guarded(low, begun, HEADS, regex)
-        total = total + weight * F.get(boost, F.least(hits, F.lit(4)))
+        total = total + T.where_begun(begun, HEADS, regex, weight * F.get(boost, F.least(T.count_matches(low, regex), F.lit(4))), 0.0)
     return F.round(total, 2)
 
 
@@ -42,11 +41,11 @@ def score_array(text: Column, filename: Column | None) -> Column:
             (category_score(low, begun, category) + bonus).alias("score"),
         )
 
-    return T.let(
-        F.lower(text),
-        lambda low: T.let(T.begun_words(low, HEADS), lambda begun: F.filter(
+    return T.by_text(text, lambda t: T.let(
+        F.lower(t),
+        lambda low: T.let(T.as_line(T.begun_words(low, HEADS)), lambda begun: F.filter(
             F.array(*[scored(low, begun, c) for c in C.DOCTYPE_RULES]), lambda s: s["score"] > 0)),
-    )
+    ))
 
 
 def ranked_scores(scores: Column, hint: Column) -> Column:

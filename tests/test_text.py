@@ -25,3 +25,23 @@ def test_repeats_are_the_counts_above_the_bound(spark):
     df = spark.createDataFrame([(["a", "b", "a", "c", "a", "c"],), (["a", "b"],)], "v array<string>")
     found = [[(c.value, c.n, c.first) for c in r.c] for r in df.select(T.repeats(F.col("v"), 1).alias("c")).collect()]
     assert found == [[("a", 3, 0), ("c", 2, 3)], []]
+
+
+def test_texts_of_ascii_are_searched_without_a_look_at_their_alphabet(spark):
+    search = lambda t: T.count_matches(t, r"\bword\b")
+    rows = spark.createDataFrame([("a word\x1fword",), ("é word wordé",), ("",), (None,)], "text string")
+    found = rows.select(search(F.col("text")).alias("n"), T.by_text(F.col("text"), search).alias("m"), T.by_text(F.col("text"), T.strip).alias("s"))
+    assert [(r.n, r.m) for r in found.collect()] == [(2, 2), (1, 1), (0, 0), (None, None)]
+    with T.plain_texts():
+        plain = rows.select(search(F.col("text")))
+    assert "octet_length" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    assert not T._plain
+
+
+def test_heads_of_patterns_decide_which_are_searched(spark):
+    heads = ["bill", "billed", "in", "invoice"]
+    rows = spark.createDataFrame([("billed to",), ("invoice no",), ("an offer",)], "text string")
+    begun = T.as_line(T.begun_words(F.col("text"), heads))
+    found = rows.select(*[T.where_begun(begun, heads, p, F.lit(1.0), 0.0).alias(n) for n, p in
+                          (("bill", r"\bbill\s*to\b"), ("in", r"\bin\b"), ("invoice", r"\binvoice\b"))]).collect()
+    assert [tuple(r) for r in found] == [(1.0, 0.0, 0.0), (0.0, 1.0, 1.0), (0.0, 0.0, 0.0)]
