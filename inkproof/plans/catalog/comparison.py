@@ -14,16 +14,12 @@ from inkproof.plans.catalog.scoring import TYPE_CTES
 from inkproof.plans.registry import query
 from inkproof.plans.scoring import assess
 from inkproof.sources.business import AS_OF, business_documents
-from inkproof.sources.tables import table
+from inkproof.sources.tables import prose, table
 
 WORDS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+'))"
 JACCARD = "len(list_intersect(wa, wb)) / CAST(len(list_distinct(list_concat(wa, wb))) AS DOUBLE)"
 
 
-def prose(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
-
-
 @query("c_token_jaccard", f"""SELECT doc_a, doc_b, round({JACCARD}, 6) AS jaccard FROM (
 SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, {WORDS.format('a.text')} AS wa, {WORDS.format('b.text')} AS wb
 FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1) t""")

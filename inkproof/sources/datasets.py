@@ -22,7 +22,8 @@ def parse_lines(lines: DataFrame, header: list[str], column: str = "line") -> Da
     line = F.col(column)
     kept = lines.where((F.length(F.trim(line)) > 0) & ~line.startswith("#"))
     schema = ", ".join(f"`{c}` string" for c in header)
-    return kept.select(F.from_csv(line, F.lit(schema), CSV_OPTIONS).alias("r")).select("r.*")
+    # parsed once: a filter on a field is not pushed below the explode
+    return kept.select(F.explode_outer(F.array(F.from_csv(line, F.lit(schema), CSV_OPTIONS))).alias("r")).select("r.*")
 
 
 def labelled_dataset(rows: DataFrame, text_column: str | None = None, label_column: str | None = None) -> DataFrame:
