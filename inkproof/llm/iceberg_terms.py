@@ -120,18 +120,18 @@ def term_counts(candidates):
         field = candidates.value
         held, n = [], 0
         groups: dict[tuple[str, str], int] = {}
-        spelt: dict[int, str] = {}
+        spelt: list[tuple[np.ndarray, pa.Array]] = []
 
         def added_up():
             group, key, count, docs = (np.concatenate([h[i] for h in held]) for i in range(4))
             order = np.lexsort((key, group))
             group, key, count, docs = group[order], key[order], count[order], docs[order]
             first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])]))
-            names = list(groups)
+            known, at = np.unique(np.concatenate([k for k, _ in spelt]), return_index=True)
+            terms = pa.concat_arrays([t for _, t in spelt]).take(pa.array(at[np.searchsorted(known, key[first])]))
+            lang, source = (pa.array([g[i] for g in groups], pa.string()).take(pa.array(group[first])) for i in range(2))
             return pa.RecordBatch.from_arrays(
-                [pa.array([names[g][0] for g in group[first].tolist()], pa.string()), pa.array([names[g][1] for g in group[first].tolist()], pa.string()),
-                 pa.array([spelt[k] for k in key[first].tolist()], pa.string()),
-                 pa.array(np.add.reduceat(count, first)), pa.array(np.add.reduceat(docs, first))],
+                [lang, source, terms.cast(pa.string()), pa.array(np.add.reduceat(count, first)), pa.array(np.add.reduceat(docs, first))],
                 names=["lang", "source", "term", "n", "documents"])
 
         for batch in batches:
@@ -149,9 +149,8 @@ def term_counts(candidates):
                     key, doc = key[order], doc[order]
                     first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))
                     count = np.diff(np.append(first, len(key)))
-                    for k, i in zip(*(x.tolist() for x in np.unique(key, return_index=True)), strict=True):
-                        if k not in spelt:
-                            spelt[k] = w.text(hit[order[i]])
+                    one = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                    spelt.append((key[one], w.texts(hit[order[one]])))
                     held.append((group_of[at + doc[first]], key[first], count, np.ones(len(first), np.int64)))
                     n += len(first)
                     if n >= HELD:

@@ -72,9 +72,13 @@ class Words:
         h = (self.sums[start + size] - self.sums[start]) * _power(BASE_INVERSE, len(self.data) + 1)[start]
         return at, mix(h ^ U64(size))
 
-    def text(self, i: int) -> str:
-        """Word i as it is in the text, lower-cased A-Z."""
-        return LOWER[self.data[self.start[i]:self.end[i]]].tobytes().decode("utf-8", "replace")
+    def texts(self, at: np.ndarray) -> pa.Array:
+        """The words at these places as they are in the text, lower-cased A-Z."""
+        size = self.end[at] - self.start[at]
+        ends = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(size, out=ends[1:])
+        byte = np.arange(ends[-1]) - np.repeat(ends[:-1] - self.start[at], size)
+        return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(LOWER[self.data[byte]])])
 
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Words:

@@ -6,11 +6,14 @@ import collections
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from inkproof.llm import iceberg_terms
 from inkproof.llm.iceberg_terms import kept_terms, source_divergence
+from inkproof.llm.textbatch import LETTERS, chunks
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in ("term", "n", "documents", "key", "words", "terms", "sid", "p", "q", "value", "rank"))
@@ -82,5 +85,12 @@ def test_refinement_keeps_words_of_every_length(spark):
     assert "deep" * 300 in kept and "same" in kept and "incomprehensibilities" + "y" * 40 in kept and "z" * 70_000 not in kept
 
 
+def test_words_of_a_chunk_are_spelt_at_once():
+    texts = ["Ein Wort é1Ünd X", "", None, "x" * 300, "ß"]
+    (at, w), = chunks(pa.array(texts, pa.string()), LETTERS)
+    assert at == 0 and w.texts(np.array([4, 0, 2, 3, 6, 5])).to_pylist() == ["x", "ein", "é", "Ünd", "ß", "x" * 300]
+    assert w.texts(np.zeros(0, np.int64)).to_pylist() == []
+
+
 def test_nothing(spark):
     assert source_divergence(documents(spark, []).limit(0)).count() == 0
