@@ -12,6 +12,7 @@ from inkproof.plans import oracle as O
 from inkproof.plans.catalog.features import WORD_N
 from inkproof.plans.catalog.scoring import TYPE_CTES
 from inkproof.plans.registry import query
+from inkproof.session import materialised
 from inkproof.plans.scoring import assess
 from inkproof.sources.business import AS_OF, business_documents
 from inkproof.sources.tables import prose, table
@@ -63,7 +64,8 @@ def business_pairs(spark, sf_dir, with_risk=True):
             F.col("stats.page_count").alias("pages"), F.col("stats.table_count").alias("tables"), word_count(text).cast("bigint").alias("words"),
             "document_type", "risk_score", "decision", F.array_distinct(F.transform("markers", lambda m: m["name"])).alias("marker_names"))
     else:
-        side = base.select("doc_id", *[f(text).alias(k) for k, f in ENTITIES.items()])
+        # both sides of the pairs read what was found once
+        side = materialised(base.select("doc_id", *[f(text).alias(k) for k, f in ENTITIES.items()]), "entities")
     pairs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_a"), (F.col("o_orderkey") + 1).alias("doc_b"))
     return P.pair_up(pairs, side)
 
