@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkproof.functions import constants as C
 from inkproof.functions import text as T
+from inkproof.operators import doctype_batch
 from inkproof.session import per_session
 
 
@@ -63,6 +64,15 @@ def ranked_scores(scores: Column, hint: Column) -> Column:
     return F.array_sort(tagged)
 
 
+@per_session
+def batched_type(filename_col: str | None) -> Column:
+    """:func:`type_column` of ASCII texts and file names, found for a batch of texts at once; NULL for all others."""
+    text = F.col("text")
+    filename = F.col(filename_col) if filename_col else F.lit(None).cast("string")
+    found = F.arrow_udf(doctype_batch.types, "struct<type:string,score:double,margin:double>")
+    return found(F.when(T.is_ascii(text) & (filename.isNull() | T.is_ascii(filename)), text), filename)
+
+
 @per_session
 def type_column(filename_col: str | None) -> Column:
     """struct(type, score, margin) of the winning category."""
@@ -85,7 +95,7 @@ def type_column(filename_col: str | None) -> Column:
 def classify(df: DataFrame, filename_col: str | None = "filename") -> DataFrame:
     """Add ``document_type``, ``type_score`` and ``type_margin``."""
     return (
-        df.withColumn("_type", type_column(filename_col))
+        df.withColumn("_type", F.coalesce(batched_type(filename_col), type_column(filename_col)))
         .withColumns({
             "document_type": F.col("_type.type"),
             "type_score": F.col("_type.score"),
