@@ -64,8 +64,9 @@ def business_pairs(spark, sf_dir, with_risk=True):
             F.col("stats.page_count").alias("pages"), F.col("stats.table_count").alias("tables"), word_count(text).cast("bigint").alias("words"),
             "document_type", "risk_score", "decision", F.array_distinct(F.transform("markers", lambda m: m["name"])).alias("marker_names"))
     else:
-        # both sides of the pairs read what was found once
-        side = materialised(base.select("doc_id", *[f(text).alias(k) for k, f in ENTITIES.items()]), "entities")
+        side = base.select("doc_id", *[f(text).alias(k) for k, f in ENTITIES.items()])
+    # both sides of the pairs read what was found once
+    side = materialised(side, "sides" if with_risk else "entities")
     pairs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_a"), (F.col("o_orderkey") + 1).alias("doc_b"))
     return P.pair_up(pairs, side)
 
